@@ -96,12 +96,19 @@ def chunk_end_sql(layout: Layout) -> str:
     return f"(rn % {layout.chunk_rows} = 0 or rn = n)"
 
 
-def running_max(df: DataFrame, exprs: dict[str, str], layout: Layout) -> DataFrame:
+def running_max(
+    df: DataFrame, exprs: dict[str, str], layout: Layout, strict: frozenset[str] = frozenset()
+) -> DataFrame:
     """Add running maxima over the whole series (``df`` chunked and settled).
 
-    With a struct that starts with ``rn`` this is "the last non-null value so far".
+    With a struct that starts with ``rn`` this is "the last non-null value so far". Names in
+    ``strict`` look at earlier rows only.
     """
-    local = df.selectExpr("*", *[f"{so_far(f'max({e})')} as _m_{name}" for name, e in exprs.items()])
+    local = df.selectExpr(
+        "*",
+        *[f"{so_far(f'max({e})')} as _m_{name}" for name, e in exprs.items()],
+        *[f"{earlier(f'max({exprs[name]})')} as _e_{name}" for name in strict],
+    )
     # the running maximum at the end of a chunk is the maximum of the chunk
     chunks = local.filter(chunk_end_sql(layout)).selectExpr(
         "symbol", "_chunk", *[f"_m_{name} as {name}" for name in exprs]
@@ -110,7 +117,10 @@ def running_max(df: DataFrame, exprs: dict[str, str], layout: Layout) -> DataFra
     before = before.select("symbol", "_chunk", *[f"{name}_before" for name in exprs])
     return local.join(before, ["symbol", "_chunk"]).selectExpr(
         *[f"`{c}`" for c in df.columns],
-        *[f"greatest({name}_before, _m_{name}) as {name}" for name in exprs],
+        *[
+            f"greatest({name}_before, {'_e_' if name in strict else '_m_'}{name}) as {name}"
+            for name in exprs
+        ],
     )
 
 
