@@ -48,7 +48,8 @@ LOOKBACK = max(ind.MEAN_SPANS) - 1
 EMA_SPANS = (*ind.MEAN_SPANS, 12, 26)
 
 
-def _first_scan(smoothing: str) -> dict[str, tuple[str, float]]:
+def first_scan(smoothing: str) -> dict[str, tuple[str, float]]:
+    """Exponential means over the bars themselves: output, input column, alpha."""
     specs = {f"ema_{k}": ("close", span_alpha(k)) for k in EMA_SPANS}
     if smoothing == ind.WILDER:
         a = 1 / ind.PERIOD
@@ -62,36 +63,50 @@ def _first_scan(smoothing: str) -> dict[str, tuple[str, float]]:
     return specs
 
 
-def technical_features(
-    bars: DataFrame, smoothing: str = ind.WILDER, layout: Layout = Layout()
-) -> DataFrame:
-    """All indicators from one chunked pass: ``symbol, ts, rn, n`` and the feature columns.
-
-    Every rolling frame and both levels of exponential means run in one partitioning by
-    ``(symbol, chunk)``. Stage tables hold the numbered bars and the per-chunk means between levels.
-    """
-    ind.check_smoothing(smoothing)
-    needed = ["open", "high", "low", "close"] + (["volume"] if smoothing == ind.WILDER else [])
-    require_columns(bars, ["symbol", "ts", *needed])
-
-    df = spread(numbered_once(bars, layout), layout, back=LOOKBACK)
+def rolling_part(df: DataFrame, smoothing: str) -> DataFrame:
+    """Columns that look back a fixed number of rows inside the chunk."""
     df = ind.add_candle(ind.add_bollinger(ind.add_sma(ind.add_return(df))))
     if smoothing == ind.SIMPLE:
-        df = ind.add_simple_adx(ind.add_simple_rsi(df))
-    else:
-        df = ind.add_moves(ind.add_true_range(ind.add_gain_loss(df)))
-    df = ewm(settle(df), _first_scan(smoothing), layout)
+        return ind.add_simple_adx(ind.add_simple_rsi(df))
+    return ind.add_moves(ind.add_true_range(ind.add_gain_loss(df)))
 
+
+def between_scans(
+    df: DataFrame, smoothing: str
+) -> tuple[DataFrame, dict[str, tuple[str, float]]]:
+    """Columns built from the first means, and the means over those columns."""
     df = ind.add(df, macd="ema_12 - ema_26")
     second = {"macd_signal": ("macd", span_alpha(9))}
     if smoothing == ind.WILDER:
         df = ind.add_di(ind.add_wilder_rsi(df, "_g", "_l"), "_plus", "_minus", "atr_14")
         second["adx_14"] = ("dx_14", 1 / ind.PERIOD)
-    df = ind.add(ewm(df, second, layout), macd_hist="macd - macd_signal")
+    return df, second
+
 
+def scan_states(
+    bars: DataFrame, smoothing: str = ind.WILDER, layout: Layout = Layout()
+) -> DataFrame:
+    """All features together with the means and inputs they are made of."""
+    ind.check_smoothing(smoothing)
+    needed = ["open", "high", "low", "close"] + (["volume"] if smoothing == ind.WILDER else [])
+    require_columns(bars, ["symbol", "ts", *needed])
+    df = spread(numbered_once(bars, layout), layout, back=LOOKBACK)
+    df = ewm(settle(rolling_part(df, smoothing)), first_scan(smoothing), layout)
+    df, second = between_scans(df, smoothing)
+    return ind.add(ewm(df, second, layout), macd_hist="macd - macd_signal").drop("_chunk")
+
+
+def technical_features(
+    bars: DataFrame, smoothing: str = ind.WILDER, layout: Layout = Layout()
+) -> DataFrame:
+    """All indicators: ``symbol, ts, rn, n`` and the feature columns of the dialect.
+
+    Every rolling frame and both levels of exponential means run in one partitioning by
+    ``(symbol, chunk)``. Stage tables hold the numbered bars and the per-chunk means between levels.
+    """
     kept = WILDER_FEATURES if smoothing == ind.WILDER else SIMPLE_FEATURES
     extra = ["volume"] if smoothing == ind.SIMPLE and "volume" in bars.columns else []
-    return df.select("symbol", "ts", "rn", "n", *kept, *extra)
+    return scan_states(bars, smoothing, layout).select("symbol", "ts", "rn", "n", *kept, *extra)
 
 
 def model_features(features: DataFrame) -> DataFrame:

@@ -27,10 +27,13 @@ def span_alpha(span: int) -> float:
     return 2.0 / (span + 1.0)
 
 
-def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], layout: Layout) -> DataFrame:
+def ewm(
+    df: DataFrame, specs: dict[str, tuple[str, float]], layout: Layout, carry: bool = True
+) -> DataFrame:
     """Add ``{out: (input column, alpha)}`` to chunked, settled rows (``symbol, _chunk, rn, n``).
 
     Runs one job at once: the chunk summaries are worked out and stored before the result is returned.
+    With ``carry=False`` every chunk is a series of its own and no job runs.
     """
     for out, (_, alpha) in specs.items():
         if not 0.0 < alpha < 1.0:
@@ -59,6 +62,11 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], layout: Layout) -> D
     summed = scaled.selectExpr(
         "*", *[f"coalesce({so_far(_shift_sum(o, c, a))}, 0D) as _s_{o}" for o, (c, a) in specs.items()]
     )
+    if not carry:
+        return summed.selectExpr(
+            *[f"`{c}`" for c in df.columns],
+            *[f"case when _r_{c} is not null then _a_{o} * (_x_{c} + _s_{o}) end as {o}" for o, (c, _) in specs.items()],
+        )
     ends = summed.filter(chunk_end_sql(layout)).selectExpr(
         "symbol",
         "_chunk",
