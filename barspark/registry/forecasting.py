@@ -1 +1,174 @@
+"""Fitting, scoring, recursive forecasts and report sinks."""
 
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from ..operators import features as feat
+from ..operators import forecast as fc
+from ..operators import indicators as ind
+from ..operators import prepare as pr
+from ..operators.clean import drop_warmup
+from ..plans import Layout, number_rows, stage, stage_path
+from ..sources import sinks
+from ..sources.bars import to_bars
+from .base import HOURLY, bars_sql, hourly, query, rounded, show, stamp, ticks
+from .evaluation import METRIC_KEYS, METRIC_ROWS_SQL, metrics
+
+SIX = Layout("H4")
+WINDOW, HORIZON, DAYS = 4, 2, 5
+INPUTS = ["open", "high", "low", "close", "return", "sma_ratio_20", "rsi_14", "atr_14"]
+PRICES = list(pr.TARGETS)
+
+
+def _prepared(spark, sf):
+    """Scaled samples of the four-hour bars with their split, and the fitted ranges."""
+    bars = to_bars(ticks(spark, sf), "H4")
+    clean = drop_warmup(feat.technical_features(bars, ind.WILDER, SIX)).drop("rn", "n")
+    rows = stage(number_rows(clean, SIX), "features")
+    inputs = stage(pr.fit_minmax_train(rows, INPUTS, WINDOW, HORIZON), "input-range")
+    outputs = stage(pr.fit_minmax_train(rows, PRICES, WINDOW, HORIZON, of="targets"), "target-range")
+    named = outputs.selectExpr(
+        "symbol", "n", *[f"{c}_{m} as target_{c}_{m}" for c in PRICES for m in ("min", "max")]
+    )
+    targets = [f"target_{c}" for c in PRICES]
+    scaled = pr.scale(
+        rows.selectExpr("*", *[f"{c} as target_{c}" for c in PRICES]), inputs, INPUTS, SIX
+    )
+    scaled = pr.scale(scaled, named, targets, SIX)
+    samples = pr.sequences(scaled, INPUTS, WINDOW, HORIZON, targets, SIX)
+    return rows, stage(pr.split_by_fraction(samples), "samples"), inputs, outputs
+
+
+def _part(samples, split: str):
+    return samples.filter(F.col("split") == split)
+
+
+@query("fit_and_score")
+def fit_and_score(spark, sf):
+    """Held-out predictions in price units."""
+    _, samples, inputs, outputs = _prepared(spark, sf)
+    model = fc.fit_forecaster(_part(samples, "train"), INPUTS, WINDOW, HORIZON)
+    rows = fc.prediction_rows(model.score(_part(samples, "test")), INPUTS.index("close"))
+    rows = fc.unscale_predictions(rows, inputs, outputs, SIX)
+    return show(rows, ["symbol", "sample_id", "step", "component"], ["y_true", "y_pred", "close_now"], 4)
+
+
+@query("fit_best")
+def fit_best(spark, sf):
+    """Validation loss per candidate."""
+    _, samples, _, _ = _prepared(spark, sf)
+    _, losses = fc.fit_best(
+        _part(samples, "train"), _part(samples, "val"), INPUTS, WINDOW, HORIZON, (0.01, 1.0)
+    )
+    return losses
+
+
+@query("recursive_forecast")
+def recursive_forecast(spark, sf):
+    rows, samples, inputs, outputs = _prepared(spark, sf)
+    model = fc.fit_forecaster(_part(samples, "train"), INPUTS, WINDOW, HORIZON)
+    bars = rows.select("symbol", "ts", "open", "high", "low", "close", "volume")
+    ahead = fc.forecast(bars, model, inputs, outputs, DAYS, ind.WILDER, SIX)
+    return show(ahead, ["symbol", "ts", "day"], PRICES, 4)
+
+
+@query(
+    "best_model",
+    bars_sql(
+        """select arg_min(model_id, (val_mse, model_id)) as model_id, round(min(val_mse), 4) + 0.0 as val_mse from (
+  select k as model_id, avg(e) as val_mse from (
+    select k, case when rn >= k then (close - avg(close) over (partition by symbol, k order by ts
+      rows between k - 1 preceding and current row)) ** 2 end as e
+    from bars, (values (5), (10), (20), (50)) m(k))
+  group by 1)"""
+    ),
+)
+def lowest_loss(spark, sf):
+    """Moving averages as stand-in models: the one nearest to the close."""
+    rows = ind.with_sma(hourly(spark, sf), ratio=False, layout=HOURLY)
+    errors = rows.select(*[((F.col("close") - F.col(f"sma_{k}")) ** 2).alias(str(k)) for k in ind.MEAN_SPANS])
+    losses = errors.agg(*[F.avg(str(k)).alias(str(k)) for k in ind.MEAN_SPANS])
+    losses = losses.unpivot([], [str(k) for k in ind.MEAN_SPANS], "model_id", "val_mse")
+    best = fc.best_model(losses.withColumn("model_id", F.col("model_id").cast("int")))
+    return show(best, ["model_id"], ["val_mse"], 4)
+
+
+@query(
+    "future_dates",
+    bars_sql(
+        f"""select symbol, day, strftime(last + to_days(day::int), '%Y-%m-%d %H:%M:%S') as ts
+from (select symbol, max(ts) as last from bars group by 1), range(1, {30 + 1}) d(day)"""
+    ),
+)
+def dates(spark, sf):
+    return show(fc.future_dates(hourly(spark, sf), 30), ["symbol", "day", "ts"])
+
+
+_AHEAD = f"""ahead as (select symbol, day, last + to_days(day::int) as ts
+  from (select symbol, max(ts) as last from bars group by 1), range(1, {30 + 1}) d(day))"""
+
+
+@query(
+    "append_rows",
+    bars_sql(
+        f"select symbol, {stamp()}, {rounded('close')} from (select symbol, ts, close from bars union all select symbol, ts, null from ahead)",
+        _AHEAD,
+    ),
+)
+def appended(spark, sf):
+    bars = hourly(spark, sf)
+    return show(fc.append_rows(bars, fc.future_dates(bars, 30).drop("day")), numbers=["close"])
+
+
+@query("first_days", bars_sql(f"select symbol, day, {stamp()} from ahead where day <= 7", _AHEAD))
+def truncated(spark, sf):
+    return show(fc.first_days(fc.future_dates(hourly(spark, sf), 30), 7), ["symbol", "day", "ts"])
+
+
+@query(
+    "usable_inputs",
+    bars_sql(
+        """select symbol, count(*) as rows, count(*) = 60 and count(*) filter (x is null or isinf(x)) = 0 as usable
+from (select symbol, rn, n, case when symbol = 'view' and rn = n then null when symbol = 'error' and rn = n - 3
+  then 'Infinity'::double else close end as x from bars) where rn > n - 60 group by 1"""
+    ),
+)
+def usable(spark, sf):
+    rows = number_rows(hourly(spark, sf), HOURLY)
+    rows = ind.add(
+        rows,
+        x="case when symbol = 'view' and rn = n then null when symbol = 'error' and rn = n - 3 "
+        "then double('Infinity') else close end",
+    )
+    return fc.usable_inputs(pr.tail_window(rows, 60), ["x"], 60)
+
+
+@query("write_metrics", METRIC_ROWS_SQL)
+def metrics_file(spark, sf):
+    path = stage_path(spark, "metrics-csv")
+    sinks.write_metrics(metrics(spark, sf), path)
+    schema = ", ".join(f"{c} string" for c in METRIC_KEYS) + ", Nilai double"
+    return show(spark.read.schema(schema).option("header", True).csv(path), METRIC_KEYS, ["Nilai"], 4)
+
+
+@query("write_summary")
+def summary_file(spark, sf):
+    path = stage_path(spark, "summary")
+    counts = hourly(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
+    config = {"sequence": {"window_size": WINDOW, "horizon": HORIZON}}
+    lines = sinks.summary_rows(metrics(spark, sf), counts, config, "events", datetime(2025, 1, 1))
+    sinks.write_summary(lines, path)
+    return spark.read.text(path).select("symbol", "value")
+
+
+@query(
+    "write_forecast",
+    bars_sql(f"select symbol, {stamp()}, {rounded(*PRICES)} from bars"),
+)
+def forecast_file(spark, sf):
+    path = stage_path(spark, "forecast")
+    sinks.write_forecast(hourly(spark, sf), path, "parquet")
+    return show(spark.read.parquet(path).withColumnRenamed("date", "ts"), numbers=PRICES)

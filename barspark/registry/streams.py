@@ -1 +1,120 @@
+"""Streaming runs over the events, compared with the batch results."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..plans import stage_path
+from ..streaming import bars as sb
+from ..streaming import signals as ss
+from .base import HOURLY, TICKS_SQL, bars_sql, hourly, query, quotes, rounded, show, stamp
+from .signals import LOOKBACK, MOVES_SQL, SHOW_MOVES, ZONE, open_orders, show_moves, tracked, zones_sql
+from .sources import OHLCV, positions
+from ..operators.trailing import own_positions
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def tick_stream(spark, sf):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    events = sb.stream_ticks(spark, sf, EVENTS, "events.parquet")
+    return events.selectExpr(
+        "event_type as symbol", "cast(ts as timestamp) as ts", "event_id as tick_id", "value as price"
+    )
+
+
+def _run(stream, sink, spark, label: str) -> None:
+    ss.start(stream, sink, stage_path(spark, f"{label}-checkpoint")).awaitTermination()
+
+
+@query(
+    "stream_bars",
+    bars_sql(
+        f"""select symbol, {stamp()}, {rounded(*OHLCV)} from bars
+where ts + interval 1 hour <= (select max(ts) from ticks)"""
+    ),
+)
+def closed_bars(spark, sf):
+    """Bars closed by the watermark; the last bar of the run is still open."""
+    path = stage_path(spark, "bars")
+    writer = (
+        sb.stream_bars(tick_stream(spark, sf), "H1")
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", stage_path(spark, "bars-checkpoint"))
+        .trigger(availableNow=True)
+    )
+    writer.start().awaitTermination()
+    return show(spark.read.parquet(path), numbers=OHLCV)
+
+
+@query(
+    "stream_ticks",
+    f"""with {TICKS_SQL} select symbol, count(*) as ticks, round(sum(price), 4) + 0.0 as total
+from ticks group by 1""",
+)
+def tick_totals(spark, sf):
+    """Every tick arrives once."""
+    path = stage_path(spark, "ticks")
+
+    def sink(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    _run(tick_stream(spark, sf), sink, spark, "ticks")
+    rows = spark.read.parquet(path).groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("ticks"), F.sum("price").alias("total")
+    )
+    return show(rows, ["symbol", "ticks"], ["total"], 4)
+
+
+def _run_by_period(df, sink, spark, label: str, cuts: tuple[str, ...]) -> None:
+    """Let the rows arrive period by period; each arrival is one run from the same checkpoint."""
+    path, checkpoint = stage_path(spark, f"{label}-files"), stage_path(spark, f"{label}-checkpoint")
+    edges = [None, *cuts, None]
+    for low, high in zip(edges, edges[1:]):
+        part = df
+        if low:
+            part = part.filter(F.col("ts") >= low)
+        if high:
+            part = part.filter(F.col("ts") < high)
+        part.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(df.schema).parquet(path)
+        ss.start(stream, sink, checkpoint).awaitTermination()
+
+
+@query(
+    "stream_zones",
+    bars_sql(
+        f"""select b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') as ts, type, {stamp('zone_ts')}, {rounded(*ZONE[1:])}
+from (select *, 'SUPPLY' as type from supply union all by name select *, 'DEMAND' as type from demand) z
+join bars b on b.symbol = z.symbol and b.rn = z.rn""",
+        *zones_sql(),
+    ),
+)
+def zone_stream(spark, sf):
+    bars = hourly(spark, sf).select("symbol", "ts", "open", "high", "low", "close")
+    folder = stage_path(spark, "zone-stream")
+    sink = ss.zone_sink(folder, LOOKBACK, layout=HOURLY)
+    _run_by_period(bars, sink, spark, "bars", ("2024-01-10", "2024-01-20"))
+    rows = ss.read_output(spark, folder, "zones")
+    return show(rows, ["symbol", "ts", "type", "zone_ts"], ZONE[1:], times=("ts", "zone_ts"))
+
+
+@query("stream_trailing", f"with {MOVES_SQL} {SHOW_MOVES}")
+def trailing_stream(spark, sf):
+    folder = stage_path(spark, "move-stream")
+    sink = ss.trailing_sink(folder, own_positions(positions(spark, sf), 123456))
+    _run_by_period(quotes(spark, sf), sink, spark, "quotes", ("2024-01-15",))
+    return show_moves(ss.read_output(spark, folder, "moves"))
+
+
+@query(
+    "stream_reconcile",
+    "select o_orderkey as ticket from orders where o_orderkey > 0 and o_orderstatus <> 'O'",
+)
+def reconcile_stream(spark, sf):
+    folder = stage_path(spark, "stale-stream")
+    sink = ss.reconcile_sink(folder, tracked(spark, sf), lambda: open_orders(spark, sf))
+    _run(tick_stream(spark, sf), sink, spark, "stale")
+    return ss.read_output(spark, folder, "stale").select("ticket").distinct()

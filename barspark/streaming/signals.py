@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.orders import stale_tickets
 from ..operators.trailing import trailing_stops
 from ..operators.zones import LOOKBACK, ZoneLevels, detect_zones, zone_rows
-from ..plans import Layout, number_rows
+from ..plans import Layout, join_salted, number_rows
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -49,14 +49,14 @@ def zone_sink(
         else:
             history = spark.read.parquet(_batch_path(folder, "zone_state", epoch - 1))
         known = history.groupBy("symbol").agg(F.max("rn").alias("_known"))
-        shifted = fresh.join(known, "symbol", "left").withColumn(
+        shifted = join_salted(fresh, known, ["symbol"], "rn").withColumn(
             "rn", F.col("rn") + F.coalesce("_known", F.lit(0))
         )
         rows = history.withColumn("_new", F.lit(False)).unionByName(
             shifted.select(*columns, F.lit(True).alias("_new"))
         )
         ends = rows.groupBy("symbol").agg(F.max("rn").alias("n"))
-        rows = rows.join(ends, "symbol")
+        rows = join_salted(rows, ends, ["symbol"], "rn")
         found = detect_zones(rows, lookback, levels, layout).filter("_new")
         zone_rows(found).write.mode("overwrite").parquet(_batch_path(folder, "zones", epoch))
         rows.filter(F.col("rn") > F.col("n") - (lookback + 2)).select(*columns).write.mode(
