@@ -58,21 +58,37 @@ def to_bars(
     ``(ts, *tie)`` must order the ticks of a symbol. The aggregates combine on the map side, so a busy
     symbol or hour sends one row per map task, not its ticks.
     """
-    order = F.struct("ts", *tie)
+    order = tick_order(ticks, tie)
     return (
         ticks.withColumn("_bar", bar_time(timeframe))
+        .withColumn("_order", order)
         .groupBy("symbol", "_bar")
         .agg(
-            F.min_by(price, order).alias("open"),
+            F.min_by(price, "_order").alias("open"),
             F.max(price).alias("high"),
             F.min(price).alias("low"),
-            F.max_by(price, order).alias("close"),
+            F.max_by(price, "_order").alias("close"),
             F.count(F.lit(1)).cast("double").alias("volume"),
         )
         .withColumnRenamed("_bar", "ts")
     )
 
 
+def tick_order(ticks: DataFrame, tie: tuple[str, ...]) -> Column:
+    """A sort key for ``(ts, *tie)``.
+
+    With no tie, or one integer, it is a plain number: then the aggregation hashes. A struct key would
+    make Spark sort all ticks first.
+    """
+    if not tie:
+        return F.expr("unix_micros(ts)")
+    if len(tie) == 1 and dict(ticks.dtypes)[tie[0]] in ("tinyint", "smallint", "int", "bigint"):
+        return F.expr(
+            f"cast(unix_micros(ts) as decimal(38, 0)) * 10000000000000000000BD + `{tie[0]}`"
+        )
+    return F.struct("ts", *tie)
+
+
 def new_bars(
     ticks: DataFrame, timeframe: str, columns: tuple[str, ...], tie: tuple[str, ...] = ("tick_id",)
 ) -> DataFrame:
