@@ -43,8 +43,11 @@ def drop_warmup(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def drop_inf(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Infinities count as missing; rows holding one are dropped."""
-    return df.withColumns({c: finite(F.col(c)) for c in columns}).dropna(subset=list(columns))
+    """Infinities and NaN count as missing; rows holding one are dropped."""
+    usable = " and ".join(
+        f"`{c}` is not null and not isnan(`{c}`) and abs(`{c}`) < double('infinity')" for c in columns
+    )
+    return df.filter(usable)
 
 
 def clean_bars(raw: DataFrame, fmt: str | None = None) -> DataFrame:

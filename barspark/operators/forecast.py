@@ -163,7 +163,7 @@ def future_dates(bars: DataFrame, days: int) -> DataFrame:
         "symbol",
         f"posexplode(sequence(last_ts + interval 1 day, last_ts + interval {days} days, "
         "interval 1 day)) as (_k, ts)",
-    ).selectExpr("symbol", "_k + 1 as day", "ts")
+    ).selectExpr("symbol", "cast(_k + 1 as bigint) as day", "ts")
 
 
 def append_rows(rows: DataFrame, more: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def _predict(
         .selectExpr(
             "symbol",
             "last_ts + make_interval(0, 0, 0, _k + 1) as ts",
-            f"_k + 1 + {first} as day",
+            f"cast(_k + 1 + {first} as bigint) as day",
             *[f"{sql} as {c}" for c, sql in price.items()],
         )
     )

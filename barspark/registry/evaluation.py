@@ -181,9 +181,9 @@ from predictions where step = 1 and component = 'close' qualify place <= 100"""
     ),
 )
 def extract(spark, sf):
-    return show(
-        ev.sample_extract(predictions(spark, sf)), ["symbol", "sample_id", "place"], ["y_true", "y_pred"]
-    )
+    rows = ev.sample_extract(predictions(spark, sf))
+    rows = rows.withColumn("place", rows.place.cast("bigint"))
+    return show(rows, ["symbol", "sample_id", "place"], ["y_true", "y_pred"])
 
 
 @query(

@@ -6,73 +6,52 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import features as feat
 from ..operators import forecast as fc
 from ..operators import indicators as ind
 from ..operators import prepare as pr
-from ..operators.clean import drop_warmup
-from ..plans import Layout, number_rows, stage, stage_path
+from ..operators.study import Study, StudyConfig, run_study
+from ..plans import Layout, number_rows, stage_path
 from ..sources import sinks
 from ..sources.bars import to_bars
 from .base import HOURLY, bars_sql, hourly, query, rounded, show, stamp, ticks
 from .evaluation import METRIC_KEYS, METRIC_ROWS_SQL, metrics
 
-SIX = Layout("H4")
 WINDOW, HORIZON, DAYS = 4, 2, 5
-INPUTS = ["open", "high", "low", "close", "return", "sma_ratio_20", "rsi_14", "atr_14"]
+INPUTS = ("open", "high", "low", "close", "return", "sma_ratio_20", "rsi_14", "atr_14")
 PRICES = list(pr.TARGETS)
 
 
-def _prepared(spark, sf):
-    """Scaled samples of the four-hour bars with their split, and the fitted ranges."""
-    bars = to_bars(ticks(spark, sf), "H4")
-    clean = drop_warmup(feat.technical_features(bars, ind.WILDER, SIX)).drop("rn", "n")
-    rows = stage(number_rows(clean, SIX), "features")
-    inputs = stage(pr.fit_minmax_train(rows, INPUTS, WINDOW, HORIZON), "input-range")
-    outputs = stage(pr.fit_minmax_train(rows, PRICES, WINDOW, HORIZON, of="targets"), "target-range")
-    named = outputs.selectExpr(
-        "symbol", "n", *[f"{c}_{m} as target_{c}_{m}" for c in PRICES for m in ("min", "max")]
-    )
-    targets = [f"target_{c}" for c in PRICES]
-    scaled = pr.scale(
-        rows.selectExpr("*", *[f"{c} as target_{c}" for c in PRICES]), inputs, INPUTS, SIX
-    )
-    scaled = pr.scale(scaled, named, targets, SIX)
-    samples = pr.sequences(scaled, INPUTS, WINDOW, HORIZON, targets, SIX)
-    return rows, stage(pr.split_by_fraction(samples), "samples"), inputs, outputs
-
-
-def _part(samples, split: str):
-    return samples.filter(F.col("split") == split)
+def _study(spark, sf, smoothing: str = ind.WILDER, regs: tuple[float, ...] = (0.01,)) -> Study:
+    config = StudyConfig(smoothing, WINDOW, HORIZON, columns=INPUTS, regs=regs, layout=Layout("H4"))
+    return run_study(to_bars(ticks(spark, sf), "H4"), config)
 
 
 @query("fit_and_score")
 def fit_and_score(spark, sf):
     """Held-out predictions in price units."""
-    _, samples, inputs, outputs = _prepared(spark, sf)
-    model = fc.fit_forecaster(_part(samples, "train"), INPUTS, WINDOW, HORIZON)
-    rows = fc.prediction_rows(model.score(_part(samples, "test")), INPUTS.index("close"))
-    rows = fc.unscale_predictions(rows, inputs, outputs, SIX)
-    return show(rows, ["symbol", "sample_id", "step", "component"], ["y_true", "y_pred", "close_now"], 4)
+    keys = ["symbol", "sample_id", "step", "component"]
+    return show(_study(spark, sf).predictions(), keys, ["y_true", "y_pred", "close_now"], 4)
 
 
 @query("fit_best")
 def fit_best(spark, sf):
     """Validation loss per candidate."""
-    _, samples, _, _ = _prepared(spark, sf)
-    _, losses = fc.fit_best(
-        _part(samples, "train"), _part(samples, "val"), INPUTS, WINDOW, HORIZON, (0.01, 1.0)
-    )
-    return losses
+    return _study(spark, sf, regs=(0.01, 1.0)).losses
+
+
+@query("study_metrics_wilder")
+def metrics_wilder(spark, sf):
+    return show(_study(spark, sf).metrics(), METRIC_KEYS, ["Nilai"], 4)
+
+
+@query("study_metrics_simple")
+def metrics_simple(spark, sf):
+    return show(_study(spark, sf, ind.SIMPLE).metrics(), METRIC_KEYS, ["Nilai"], 4)
 
 
 @query("recursive_forecast")
 def recursive_forecast(spark, sf):
-    rows, samples, inputs, outputs = _prepared(spark, sf)
-    model = fc.fit_forecaster(_part(samples, "train"), INPUTS, WINDOW, HORIZON)
-    bars = rows.select("symbol", "ts", "open", "high", "low", "close", "volume")
-    ahead = fc.forecast(bars, model, inputs, outputs, DAYS, ind.WILDER, SIX)
-    return show(ahead, ["symbol", "ts", "day"], PRICES, 4)
+    return show(_study(spark, sf).forecast(DAYS), ["symbol", "ts", "day"], PRICES, 4)
 
 
 @query(

@@ -90,7 +90,7 @@ where a.rn >= {WINDOW}"""
 def windows(spark, sf):
     rows = pr.input_windows(numbered(spark, sf), ["open", "close"], WINDOW, HOURLY)
     return rows.selectExpr("symbol", "sample_id", "posexplode(x) as (place, v)").selectExpr(
-        "symbol", "sample_id", "place", "round(v[0], 6) + 0D as open", "round(v[1], 6) + 0D as close"
+        "symbol", "sample_id", "cast(place as bigint) as place", "round(v[0], 6) + 0D as open", "round(v[1], 6) + 0D as close"
     )
 
 
@@ -107,7 +107,7 @@ where a.rn >= {WINDOW} and a.rn + {HORIZON} <= a.n"""
 def targets(spark, sf):
     rows = pr.horizon_targets(numbered(spark, sf), WINDOW, HORIZON, layout=HOURLY)
     return rows.selectExpr("symbol", "sample_id", "posexplode(y) as (place, v)").selectExpr(
-        "symbol", "sample_id", "place", "round(v, 6) + 0D as y"
+        "symbol", "sample_id", "cast(place as bigint) as place", "round(v, 6) + 0D as y"
     )
 
 

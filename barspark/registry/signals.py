@@ -62,27 +62,27 @@ def detected(spark, sf, levels=zones.ZoneLevels()):
 @query(
     "highest_close",
     bars_sql(
-        f"""select b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') as ts, b.rn - t.at as highest_shift,
+        f"""select b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') as ts, (b.rn - t.at)::double as highest_shift,
   round(t.close, 6) + 0.0 as highest_close from bars b left join top_at t on t.symbol = b.symbol and t.rn = b.rn""",
         *zones_sql()[:1],
     ),
 )
 def highest(spark, sf):
     rows = zones.extreme_closes(hourly(spark, sf), LOOKBACK, HOURLY)
-    return show(rows, ["symbol", "ts", "highest_shift"], ["highest_close"])
+    return show(rows, ["symbol", "ts"], ["highest_shift", "highest_close"])
 
 
 @query(
     "lowest_close",
     bars_sql(
-        f"""select b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') as ts, b.rn - t.at as lowest_shift,
+        f"""select b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') as ts, (b.rn - t.at)::double as lowest_shift,
   round(t.close, 6) + 0.0 as lowest_close from bars b left join low_at t on t.symbol = b.symbol and t.rn = b.rn""",
         *zones_sql()[:1],
     ),
 )
 def lowest(spark, sf):
     rows = zones.extreme_closes(hourly(spark, sf), LOOKBACK, HOURLY)
-    return show(rows, ["symbol", "ts", "lowest_shift"], ["lowest_close"])
+    return show(rows, ["symbol", "ts"], ["lowest_shift", "lowest_close"])
 
 
 @query(

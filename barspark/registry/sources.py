@@ -99,7 +99,7 @@ def bar_shift(spark, sf):
 @query(
     "quotes_at",
     bars_sql(
-        f"""select b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') as ts, t.tick_id as quote_id,
+        f"""select b.symbol, strftime(b.ts, '%Y-%m-%d %H:%M:%S') as ts, t.tick_id::double as quote_id,
   round(t.price, 6) + 0.0 as bid, round(t.price * 1.0002, 6) + 0.0 as ask
 from bars b asof left join ticks t on b.symbol = t.symbol and b.ts >= t.ts"""
     ),
@@ -108,7 +108,7 @@ def quote_snapshot(spark, sf):
     given = quotes(spark, sf)
     at = quotes_at(hourly(spark, sf).select("symbol", "ts"), given)
     found = at.join(
-        given.selectExpr("symbol", "ts as quote_ts", "tick_id as quote_id"), ["symbol", "quote_ts"], "left"
+        given.selectExpr("symbol", "ts as quote_ts", "cast(tick_id as double) as quote_id"), ["symbol", "quote_ts"], "left"
     )
     return show(found, ["symbol", "ts", "quote_id"], ["bid", "ask"])
 

@@ -11,7 +11,7 @@ def quotes_at(
     requests: DataFrame,
     quotes: DataFrame,
     tie: str = "tick_id",
-    bucket_seconds: int = 3600,
+    bucket_seconds: int = 60,
     fanout: int = 4096,
 ) -> DataFrame:
     """Add the last quote at or before each request: ``quote_ts, bid, ask`` (NULL if none yet).

@@ -7,7 +7,7 @@ import __spark_entry__ as entry_module
 from check import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"fit_best", "recursive_forecast"}
+SLOW = {"fit_best", "study_metrics_simple"}
 
 
 @pytest.fixture(scope="module")
