@@ -44,7 +44,7 @@ def summary_rows(
     when = (trained_at or datetime.now()).strftime("%Y-%m-%d %H:%M:%S")
     # Wording of the report.
     head = [
-        "===== RINGKASAN MODEL XAUUSD =====",
+        "===== RINGKASAN MODEL =====",
         f"Tanggal pelatihan: {when}",
         f"Dataset: {dataset}",
     ]
@@ -111,8 +111,8 @@ _ORDER_TITLES = {
     "BUY_LIMIT": "Buy Limit berhasil dipasang pada ",
 }
 _STOP_TITLE = "Trailing Stop diperbarui pada "
-_START_TITLE = "SanSuDe EA telah dimulai pada {}, Timeframe: {}"
-_STOP_RUN_TITLE = "SanSuDe EA telah berhenti pada {}, Timeframe: {}"
+_START_TITLE = "EA telah dimulai pada {}, Timeframe: {}"
+_STOP_RUN_TITLE = "EA telah berhenti pada {}, Timeframe: {}"
 
 
 def _price(column: str) -> str:
