@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,22 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a fresh local one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests) gets a fresh temporary folder, set for the session; any
+    other master raises, since its executors could not read a machine-local folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(
+                f"spark.checkpoint.dir is unset: master {master} needs a folder that all executors share"
+            )
         folder = tempfile.mkdtemp(prefix="barspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back, cutting the lineage."""
     path = stage_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
