@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import secret_scan
-from .common import read
+from . import decontaminate, secret_scan, toxicity
+from .common import id_crc, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +22,18 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 @query
 def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read(spark, sf, "documents"), keep=["doc_id"]))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_hits(read(spark, sf, "documents"), read(spark, sf, "benchmark")))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    held_out = id_crc("doc_id") % 5 == 0
+    model = toxicity.fit(docs.where(~held_out), read(spark, sf, "labels").where(~held_out))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
