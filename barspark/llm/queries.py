@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secret_scan, toxicity
+from . import decontaminate, packing, secret_scan, token_codes, toxicity
 from .common import id_crc, read
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,6 +27,16 @@ def op1_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read(spark, sf, "documents"), keep=["doc_id"]))
 
 
+@query
+def op2_token_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return token_codes.round_trip(read(spark, sf, "documents"), VOCABULARY)
+
+
+@query
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf, "documents"), VOCABULARY)
+
+
 @query
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_hits(read(spark, sf, "documents"), read(spark, sf, "benchmark")))
