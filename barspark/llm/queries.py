@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, secret_scan, token_codes, toxicity
+from . import decontaminate, near_dedup, packing, secret_scan, token_codes, toxicity
 from .common import id_crc, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,3 +50,8 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score(docs, model, keep=["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf, "documents"))
