@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, secret_scan, token_codes, toxicity
+from . import decontaminate, language, near_dedup, packing, secret_scan, token_codes, toxicity
 from .common import id_crc, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,3 +55,13 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf, "documents"))
+
+
+@query
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    held_out = id_crc("doc_id") % 4 == 2
+    model = language.fit(docs.where(~held_out))
+    return language.identify(docs, model, keep=["doc_id"], spans=False).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
