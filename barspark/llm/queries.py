@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, near_dedup, packing, secret_scan, token_codes, toxicity
+from . import decontaminate, language, near_dedup, nearest, packing, secret_scan, token_codes, toxicity
 from .common import id_crc, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,3 +65,8 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(docs, model, keep=["doc_id"], spans=False).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score"
     )
+
+
+@query
+def op9_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return nearest.search(read(spark, sf, "embeddings"))
