@@ -97,10 +97,11 @@ def gather_runs(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def remove_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+def remove_runs(rows: DataFrame, runs: DataFrame, least: int = 1) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and the bytes ``kept`` of each row without its runs.
 
-    ``rows`` as from ``keyed``, ``runs`` as from ``gather_runs``; runs may overlap and are in no order.
+    ``rows`` as from ``keyed``, ``runs`` as from ``gather_runs``; runs may touch or overlap and are in no order. United
+    runs of fewer than ``least`` bytes stay, unless one is the whole text.
     """
     runs = runs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "runs")
     both = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
@@ -118,6 +119,8 @@ def remove_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
                 start, end = start[order], np.maximum.accumulate(end[order])
                 first = np.concatenate(([True], start[1:] > end[:-1]))
                 starts, ends = start[first], end[np.append(first[1:], True)]
+                long = (ends - starts >= least) | (ends - starts == len(body))
+                starts, ends = starts[long], ends[long]
                 spans, removed = len(starts), int((ends - starts).sum())
                 edges = [0, *np.stack([starts, ends], axis=1).reshape(-1).tolist(), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))

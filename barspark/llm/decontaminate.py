@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans import stage
 from .common import PLAIN_WORD, ascii_lower, map_arrow
 
 WIDTH = 10
@@ -148,18 +150,22 @@ def find_hits(
     item_text: str = "text", width: int = WIDTH,
 ) -> DataFrame:
     """``id``, ``hits`` (runs of hit words), ``items`` (found item ids) and ``n_words`` of each document."""
-    slices = list(_slices(benchmark, item, item_text))
-    if len(slices) == 1:
-        return _hits_of(docs, [id], text, slices[0], width)
+    slices = _slices(benchmark, item, item_text)
+    part, following = next(slices), next(slices, None)
+    if following is None:
+        return _hits_of(docs, [id], text, part, width)
     # one row of a document for each slice; its text's hash tells documents of one id apart
     docs = docs.select(id, text, F.xxhash64(F.col(f"`{text}`")).alias("_key"))
-    whole = reduce(DataFrame.unionByName, (_hits_of(docs, [id, "_key"], text, part, width) for part in slices))
+    found = []
+    for part in chain([part, following], slices):  # written, so the driver holds one slice at a time
+        found.append(stage(_hits_of(docs, [id, "_key"], text, part, width), "hits"))
+    whole = reduce(DataFrame.unionByName, found)
     return (
         whole.groupBy(F.col(f"`{id}`"), "_key", "n_words")
         .agg(
             F.sort_array(F.flatten(F.collect_list("hits"))).alias("hits"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.expr(f"count(*) div {len(slices)}").alias("_copies"),
+            F.expr(f"count(*) div {len(found)}").alias("_copies"),
         )
         .withColumn("hits", merge_runs(F.col("hits")))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
@@ -167,37 +173,48 @@ def find_hits(
     )
 
 
+def _without_hits(windows: Windows, text: str | None, least_left: int) -> str | None:
+    """The text without its hits; ``None`` if fewer than ``least_left`` words remain of a text with hits."""
+    while True:  # what closes up over a gap may be a window again
+        spots = list(PLAIN_WORD.finditer(ascii_lower(text))) if text else []
+        hit, _ = windows.find([m[0] for m in spots])
+        if not hit.any():
+            return text
+        if len(spots) - int(hit.sum()) < least_left:
+            return None
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+        out, free = [], 0
+        for a, b in edges.reshape(-1, 2).tolist():
+            out.append(text[free : spots[a].start()])
+            free = spots[b - 1].end()
+        text = "".join([*out, text[free:]])
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_left: int = 1, width: int = WIDTH) -> DataFrame:
     """The documents without their hit words and what stands between these; other texts stay as they are.
 
-    A document of which fewer than ``least_left`` words would remain goes whole.
+    A document of which fewer than ``least_left`` words would remain goes whole. Several slices are taken one after
+    the other, each result written before the next.
     """
     columns = docs.columns
     place = columns.index(text)
-    for part in _slices(benchmark, "item_id", "text"):
+    slices = _slices(benchmark, "item_id", "text")
+    part = next(slices)
+    while part is not None:
+        following = next(slices, None)
         shared = docs.sparkSession.sparkContext.broadcast(Windows(part, width))
 
         def run(batch: pa.RecordBatch, shared=shared):
-            windows: Windows = shared.value
-            texts, kept = [], []
-            for i, t in enumerate(batch.column(place).to_pylist()):
-                spots = list(PLAIN_WORD.finditer(ascii_lower(t))) if t else []
-                hit, _ = windows.find([m[0] for m in spots])
-                if hit.any():
-                    if len(spots) - int(hit.sum()) < least_left:
-                        continue
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-                    out, free = [], 0
-                    for a, b in edges.reshape(-1, 2).tolist():
-                        out.append(t[free : spots[a].start()])
-                        free = spots[b - 1].end()
-                    t = "".join([*out, t[free:]])
-                texts.append(t)
-                kept.append(i)
+            before = batch.column(place).to_pylist()
+            after = [_without_hits(shared.value, t, least_left) for t in before]
+            kept = [i for i, (t, u) in enumerate(zip(before, after)) if t is None or u is not None]
             rest = batch.take(pa.array(kept, pa.int64()))
-            yield {c: rest.column(i) for i, c in enumerate(columns)} | {text: texts}
+            yield {c: rest.column(i) for i, c in enumerate(columns)} | {text: [after[i] for i in kept]}
 
         docs = map_arrow(docs, run, docs.schema)
+        if following is not None:
+            docs = stage(docs, "clean")
+        part = following
     return docs
 
 

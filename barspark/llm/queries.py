@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_runs, decontaminate, language, near_dedup, nearest, packing, secret_scan, suffix_dedup, token_codes, toxicity
+from . import byte_runs, chunk_dedup, decontaminate, language, near_dedup, nearest, packing, secret_scan, suffix_dedup, token_codes, toxicity
 from .common import id_crc, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,3 +75,8 @@ def op9_nearest(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return byte_runs.digest(suffix_dedup.remove_repeats(read(spark, sf, "documents")))
+
+
+@query
+def op7_chunk_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return byte_runs.digest(chunk_dedup.remove_repeats(read(spark, sf, "documents")))

@@ -108,7 +108,8 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, out:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replace the secrets of ``text``; overlapping spans become one mark. Nulls stay null."""
-    place = df.columns.index(text)
+    columns = df.columns
+    place = columns.index(text)
 
     def clean(value: str | None) -> str | None:
         spans, out, free = find(value), [], 0
@@ -126,7 +127,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
         return "".join([*out, value[free:]])
 
     def run(batch: pa.RecordBatch):
-        yield {c: batch.column(i) for i, c in enumerate(df.columns)} | {
+        yield {c: batch.column(i) for i, c in enumerate(columns)} | {
             text: [clean(t) for t in batch.column(place).to_pylist()]
         }
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..plans import stage
 from . import byte_runs as B
 from .common import map_arrow
+from .repeats import bitmap_of, listed
 from .shingles import GOLD, mix
 
 LENGTH = 200
@@ -38,9 +39,6 @@ ANCHOR = 48
 #: Bytes of fragments in a shard, on average, and occurrences of an anchor beyond which it is split over shards.
 SHARD = 3_000_000
 SPLIT = 8192
-#: The bitmap has about ``BITS_EACH`` bits for each repeated anchor, within these bounds.
-BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 30
-CHUNK = 1 << 20
 
 
 def homes(data: np.ndarray, places: np.ndarray, length: int, anchor: int):
@@ -92,32 +90,6 @@ def count_anchors(rows: DataFrame, length: int, anchor: int) -> DataFrame:
     return map_arrow(rows.select("text"), run, "h bigint, n bigint")
 
 
-def bitmap_of(anchors: DataFrame, count: int) -> np.ndarray:
-    """Bits for the repeated anchors, built in chunks."""
-    size = LEAST_BITS
-    while size < MOST_BITS and size < BITS_EACH * count:
-        size *= 2
-    shift = 64 - size.bit_length() + 1
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        at = (table["h"].to_numpy().view(np.uint64) >> np.uint64(shift)).astype(np.int64) % CHUNK
-        bits = np.zeros(CHUNK, bool)
-        bits[at] = True
-        return pa.table({"chunk": [key[0].as_py()], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    chunk = F.shiftrightunsigned(F.shiftrightunsigned("h", shift), CHUNK.bit_length() - 1).alias("chunk")
-    out = np.zeros(size // 8, np.uint8)
-    found = anchors.select("h", chunk).groupBy("chunk").applyInArrow(run, "chunk bigint, bits binary")
-    for r in found.toLocalIterator():
-        out[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
-def _listed(bitmap: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    at = anchors >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
-    return bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
-
-
 def suffix_array(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """``starts`` sorted by their first ``length`` bytes, and the 8 bytes from each place on as a number.
 
@@ -288,7 +260,7 @@ def repeated(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
     def fragments(batch: pa.RecordBatch):
         for data, _, places, _ in B.pieces(batch.column(0), length - 1):
             first, last, h, d, _ = homes(data, places, length, anchor)
-            keep = _listed(bitmap.value, h)
+            keep = listed(bitmap.value, h)
             if not keep.any():
                 continue
             first, last, h, d = first[keep], last[keep], h[keep], d[keep]
@@ -300,7 +272,7 @@ def repeated(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Dat
     def occurrences(batch: pa.RecordBatch):
         for data, rows_of, places, bases in B.pieces(batch.column(2), length - 1):
             first, _, h, d, part = homes(data, places, length, anchor)
-            keep = _listed(bitmap.value, h)
+            keep = listed(bitmap.value, h)
             first, h, d, part = first[keep], h[keep], d[keep], part[keep]
             # one row for the like fragments of a text
             order = np.lexsort((first, d, h, part))
