@@ -55,6 +55,14 @@ def map_arrow(
     return df.mapInArrow(run, spark_schema)
 
 
+def with_text_last(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """The columns in ``keep``, and ``text`` as a string once more, last and under a name of its own."""
+    name = "_text"
+    while name in keep:
+        name += "_"
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(name))
+
+
 def text_slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of rows with about ``limit`` characters, one row at least."""
     begin = size = 0

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans import stage
-from .common import PLAIN_WORD, ascii_lower, map_arrow
+from .common import PLAIN_WORD, ascii_lower, map_arrow, with_text_last
 
 WIDTH = 10
 #: The most characters of benchmark text (and items) that one broadcast slice holds.
@@ -122,7 +122,7 @@ def _hits_of(df: DataFrame, keep: list[str], text: str, items: list[tuple[int, s
             counts.append(len(words))
         yield {c: batch.column(i) for i, c in enumerate(keep)} | {"hits": hits, "items": found, "n_words": counts}
 
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_scanned"))
+    source = with_text_last(df, keep, text)
     extra = T.StructType.fromDDL(HITS).fields
     return map_arrow(source, run, T.StructType([*source.schema.fields[:-1], *extra]))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, text_slices
+from .common import map_arrow, text_slices, with_text_last
 from .shingles import GOLD, mix
 
 BITS = 16
@@ -206,7 +206,7 @@ def identify(
     """Add ``lang_pred`` and ``score``, and ``lang_spans`` in code points if asked, to the columns in ``keep`` (all)."""
     added = ["lang_pred", "score", "lang_spans"][: 3 if spans else 2]
     keep = [c for c in (df.columns if keep is None else keep) if c not in added]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_scanned"))
+    source = with_text_last(df, keep, text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, map_arrow
+from .common import ascii_lower, map_arrow, with_text_last
 
 #: The kinds in their order, the keywords, and the formats.
 BASE_KINDS = ["assign", "access", "hex"]
@@ -101,7 +101,7 @@ def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, out:
         texts = batch.column(batch.num_columns - 1).to_pylist()
         yield {c: batch.column(i) for i, c in enumerate(keep)} | {out: _span_array([find(t) for t in texts])}
 
-    wanted = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_scanned"))
+    wanted = with_text_last(df, keep, text)
     schema = T.StructType([*wanted.schema.fields[:-1], T.StructField(out, SPANS)])
     return map_arrow(wanted, run, schema)
 

@@ -12,8 +12,8 @@ A byte goes if a ``LENGTH``-byte string that covers it also starts elsewhere, in
 * **Suffix arrays.** A shard's fragments are sorted by Larsson and Sadakane's refinement, which doubles the sorted
   prefix and sorts again only what is still tied, up to ``LENGTH`` bytes. Kasai's rule gives the common prefixes of
   neighbours, in lockstep over the fragments. Neighbours that share ``LENGTH`` bytes are one string.
-* **Merging.** An anchor with many fragments is split over several shards. What is single in its shard is then looked up
-  by binary search among the sorted strings of the anchor's other shards.
+* **Merging.** An anchor with many fragments is split over several shards. Their distinct strings are then looked up by
+  binary search among the sorted strings of the anchor's other shards.
 
 The homes are computed again for each of three passes, which is cheaper than to keep or shuffle them.
 
@@ -176,7 +176,7 @@ FOUND = f"h bigint, d bigint, runs {B.RUNS}, single array<struct<at: bigint, low
 
 
 def _search_shard(table: pa.Table, length: int) -> pa.Table:
-    """By fragment the starts of strings that repeat; of split anchors also the strings that are single here."""
+    """By fragment the starts of strings that repeat here; of split anchors also one start of each string."""
     bodies: dict[bytes, int] = {}
     h, d, n, split = (table[c].to_numpy() for c in ("h", "d", "n", "split"))
     which = np.array([bodies.setdefault(b, len(bodies)) for c in table["body"].chunks for b in c.to_pylist()], np.int64)
@@ -194,7 +194,8 @@ def _search_shard(table: pa.Table, length: int) -> pa.Table:
     total = np.bincount(group, weights=copies[owner[order]])[group]
     repeats = np.sort(order[total > 1])
     found = {"h": [], "d": [], "runs": [], "single": []}
-    alone = np.sort(order[(total == 1) & split[row][owner[order]]])
+    # of split anchors one of each string, whether it repeats here or not: another shard may hold it once
+    alone = np.sort(order[~same & split[row][owner[order]]])
     windows = _string_hashes(data, alone, length) if len(alone) else None
     cuts = np.searchsorted(repeats, stop), np.searchsorted(alone, stop)
     a0 = b0 = 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import map_arrow, with_text_last
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -124,7 +124,7 @@ def fit(
 def score(df: DataFrame, model, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """Add ``out``, the probability of the label, to the columns in ``keep`` (all)."""
     keep = [c for c in (df.columns if keep is None else keep) if c != out]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("_scanned"))
+    source = with_text_last(df, keep, text)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch):
