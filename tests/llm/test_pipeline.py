@@ -15,11 +15,11 @@ ITEM = words(30, 5000)
 @pytest.fixture(scope="module")
 def folder(spark, make, tmp_path_factory):
     rows = AWKWARD + family(80, 12, 2, 2000)
-    rows += [(10_000 + k, toxic(k)) for k in range(100)] + [(20_000 + k, words(60, 3000 + k)) for k in range(300)]
+    rows += [(10_000 + k, toxic(k)) for k in range(400)] + [(20_000 + k, words(60, 3000 + k)) for k in range(300)]
     rows += [(30_000, words(40, 1) + SECRET + words(40, 2)), (30_001, words(40, 6) + " " + ITEM + " " + words(40, 7)), (30_002, ITEM)]
     path = str(tmp_path_factory.mktemp("tables"))
     make(rows).write.parquet(f"{path}/documents.parquet")
-    labels = [(10_000 + k, 1) for k in range(70)] + [(20_000 + k, 0) for k in range(250)]
+    labels = [(10_000 + k, 1) for k in range(330)] + [(20_000 + k, 0) for k in range(250)]
     spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame([(1, ITEM), (2, None)], "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
@@ -35,8 +35,9 @@ def test_stages(spark, folder):
     assert clean.columns == columns and set(CLASHING) <= set(columns)
     left = clean.collect()
     kept = [r.doc_id for r in left]
-    assert not any(k in kept for k in range(10_000, 10_100))
-    assert len(left) == len(before) - 100
+    through = sum(10_000 <= (k or 0) < 10_400 for k in kept)
+    assert through <= 4
+    assert len(left) == len(before) - 400 + through
 
     single = P.STAGES[1][1](spark, clean, folder)
     groups = brute([(r.doc_id, r.text) for r in left], P.WIDTH)
