@@ -147,6 +147,11 @@ def rates(spark, sf):
     )
 
 
+def metric_sql(select: str) -> str:
+    """SQL over the bars, step metrics and signals."""
+    return _sql(select, _STEPS, _NOW, _SIGNALS)
+
+
 METRIC_ROWS_SQL = _sql(
     """select symbol, "Timestep", "Komponen", "Metrik", round("Nilai", 4) + 0.0 as "Nilai" from (
   select symbol, step::varchar as "Timestep", upper(component) as "Komponen", 'MSE' as "Metrik", mse as "Nilai" from steps

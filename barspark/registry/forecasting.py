@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -9,12 +10,12 @@ from pyspark.sql import functions as F
 from ..operators import forecast as fc
 from ..operators import indicators as ind
 from ..operators import prepare as pr
-from ..operators.study import Study, StudyConfig, run_study
+from ..operators.study import Study, StudyConfig, run_study, scaled_samples
 from ..plans import Layout, number_rows, stage_path
 from ..sources import sinks
 from ..sources.bars import to_bars
 from .base import HOURLY, bars_sql, hourly, query, rounded, show, stamp, ticks
-from .evaluation import METRIC_KEYS, METRIC_ROWS_SQL, metrics
+from .evaluation import METRIC_KEYS, METRIC_ROWS_SQL, metric_sql, metrics
 
 WINDOW, HORIZON, DAYS = 4, 2, 5
 INPUTS = ("open", "high", "low", "close", "return", "sma_ratio_20", "rsi_14", "atr_14")
@@ -54,6 +55,115 @@ def recursive_forecast(spark, sf):
     return show(_study(spark, sf).forecast(DAYS), ["symbol", "ts", "day"], PRICES, 4)
 
 
+#: Coefficients with enough digits that no rounded result is a tie.
+LAST, BEFORE, STEP = 0.731043, 0.268957, 0.013717
+
+
+class Drift(fc.Forecaster):
+    """A forecaster with given coefficients, so that SQL can follow each of its steps: the last row of the window, the
+    row before it, and a share of the range for each step ahead."""
+
+    def score(self, samples):
+        last, before = "element_at(x, -1)", "element_at(x, -2)"
+        cells = [
+            f"{LAST}D * {last}[{i}] + {BEFORE}D * {before}[{i}] + {k} * {STEP}D"
+            for k in range(1, self.horizon + 1)
+            for i in range(len(PRICES))
+        ]
+        return samples.withColumn("y_hat", F.expr(f"array({', '.join(cells)})"))
+
+
+def _range_sql(name: str, rows: str) -> str:
+    parts = ", ".join(f"min({c}) as {c}_min, coalesce(nullif(max({c}) - min({c}), 0), 1) as {c}_width" for c in PRICES)
+    return f"{name} as (select symbol, {parts} from bars where {rows} group by symbol)"
+
+
+_SAMPLES = f"(n - {WINDOW} - {HORIZON} + 1)"
+_TRAIN = f"cast(floor({_SAMPLES} * 0.7::double) as bigint)"
+_RANGES = (
+    _range_sql("inputs", f"{_SAMPLES} > 0 and rn <= {_TRAIN} + {WINDOW}"),
+    _range_sql("targets", f"{_SAMPLES} > 0 and rn > {WINDOW} and rn <= {_TRAIN} + {WINDOW} + {HORIZON}"),
+)
+
+
+def _case(column: str, values: dict[str, str]) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then {v}" for k, v in values.items()) + " end"
+
+
+def _drift_parts(spark, sf):
+    rows = number_rows(hourly(spark, sf), HOURLY)
+    inputs = pr.fit_minmax_train(rows, PRICES, WINDOW, HORIZON)
+    outputs = pr.fit_minmax_train(rows, PRICES, WINDOW, HORIZON, of="targets")
+    return rows, inputs, outputs, Drift(PRICES, WINDOW, HORIZON)
+
+
+_DRIFT_PRED = {
+    c: f"({LAST} * (a.{c} - i.{c}_min) / i.{c}_width + {BEFORE} * (p.{c} - i.{c}_min) / i.{c}_width + {STEP} * step)"
+    f" * t.{c}_width + t.{c}_min"
+    for c in PRICES
+}
+
+
+@query(
+    "fixed_score",
+    bars_sql(
+        f"""select symbol, sample_id, step, component, {rounded('y_true', 'y_pred', 'close_now', digits=4)} from (
+  select a.symbol, a.rn - {WINDOW} as sample_id, step::int as step, component,
+    {_case('component', {c: f'b.{c}' for c in PRICES})} as y_true, {_case('component', _DRIFT_PRED)} as y_pred,
+    a.close as close_now
+  from bars a join bars p on p.symbol = a.symbol and p.rn = a.rn - 1 join inputs i on i.symbol = a.symbol
+    join targets t on t.symbol = a.symbol, range(1, {HORIZON + 1}) s(step), (values ('open'), ('high'), ('low'), ('close')) c(component),
+    bars b where b.symbol = a.symbol and b.rn = a.rn + step and a.rn >= {WINDOW} and a.rn + {HORIZON} <= a.n
+    and a.rn - {WINDOW} >= cast(floor((a.n - {WINDOW} - {HORIZON} + 1) * 0.7::double) as bigint)
+      + cast(floor((a.n - {WINDOW} - {HORIZON} + 1) * 0.15::double) as bigint))""",
+        *_RANGES,
+    ),
+)
+def fixed_score(spark, sf):
+    """Held-out predictions in price units, by fixed coefficients."""
+    rows, inputs, outputs, model = _drift_parts(spark, sf)
+    samples = pr.split_by_fraction(scaled_samples(rows, inputs, outputs, PRICES, WINDOW, HORIZON, HOURLY))
+    scored = model.score(samples.filter("split = 'test'"))
+    predictions = fc.unscale_predictions(fc.prediction_rows(scored, PRICES.index("close")), inputs, outputs, HOURLY)
+    return show(predictions, ["symbol", "sample_id", "step", "component"], ["y_true", "y_pred", "close_now"], 4)
+
+
+def _drift_step(k: int) -> str:
+    """The next row of every price, ``k`` steps ahead of the window's last two rows."""
+    return ", ".join(
+        f"({LAST} * (a_{c} - i.{c}_min) / i.{c}_width + {BEFORE} * (b_{c} - i.{c}_min) / i.{c}_width + {k} * {STEP})"
+        f" * t.{c}_width + t.{c}_min as p{k}_{c}"
+        for c in PRICES
+    )
+
+
+_ROUNDS = f"""rounds as (
+  select a.symbol, 0 as round, a.ts, {', '.join(f'a.{c} as a_{c}, b.{c} as b_{c}' for c in PRICES)}
+  from bars a join bars b on b.symbol = a.symbol and b.rn = a.n - 1 where a.rn = a.n
+  union all
+  select symbol, round + 1, ts, {', '.join(f'p2_{c}, p1_{c}' for c in PRICES)} from (
+    select r.*, {_drift_step(1)}, {_drift_step(2)}
+    from rounds r join inputs i on i.symbol = r.symbol join targets t on t.symbol = r.symbol where round < 3))"""
+
+
+@query(
+    "fixed_forecast",
+    bars_sql(
+        f"""select symbol, strftime(ts + to_days(day::int), '%Y-%m-%d %H:%M:%S') as ts, day, {rounded(*PRICES, digits=4)} from (
+  select symbol, ts, round * 2 as day, {', '.join(f'a_{c} as {c}' for c in PRICES)} from rounds where round > 0
+  union all select symbol, ts, round * 2 - 1, {', '.join(f'b_{c}' for c in PRICES)} from rounds where round > 0) where day <= {DAYS}""",
+        *_RANGES,
+        _ROUNDS,
+    ),
+)
+def fixed_forecast(spark, sf):
+    """The recursive forecast by fixed coefficients."""
+    rows, inputs, outputs, model = _drift_parts(spark, sf)
+    bars = rows.select("symbol", "ts", *PRICES, "volume")
+    found = fc.forecast(bars, model, inputs, outputs, DAYS, layout=HOURLY)
+    return show(found, ["symbol", "ts", "day"], PRICES, 4)
+
+
 @query(
     "best_model",
     bars_sql(
@@ -133,11 +243,26 @@ def metrics_file(spark, sf):
     return show(spark.read.schema(schema).option("header", True).csv(path), METRIC_KEYS, ["Nilai"], 4)
 
 
-@query("write_summary")
+_SUMMARY_CONFIG = {"sequence": {"window_size": WINDOW, "horizon": HORIZON}}
+_SUMMARY_SQL = metric_sql(
+    f"""select symbol, unnest([{', '.join(repr(x) for x in (
+        '===== RINGKASAN MODEL =====', 'Tanggal pelatihan: 2025-01-01 00:00:00', 'Dataset: events',
+        'Konfigurasi Pelatihan:', *json.dumps(_SUMMARY_CONFIG, indent=2).splitlines(), 'Hasil Evaluasi:',
+        '===== AKHIR RINGKASAN =====',
+    ))}, 'Jumlah data setelah pembersihan: ' || count(*)]) as value from bars group by symbol
+union all select symbol, printf('Timestep %d %s: MSE=%.6f, R2=%.6f', step, upper(component), mse, r2) from steps
+union all select symbol, printf('%s: %.4f', m.name, case m.name when 'accuracy' then accuracy
+    when 'precision_up' then precision_up when 'recall_up' then recall_up when 'precision_down' then precision_down
+    else recall_down end)
+  from signals, (values ('accuracy'), ('precision_up'), ('recall_up'), ('precision_down'), ('recall_down')) m(name)"""
+)
+
+
+@query("write_summary", _SUMMARY_SQL)
 def summary_file(spark, sf):
     path = stage_path(spark, "summary")
     counts = hourly(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
-    config = {"sequence": {"window_size": WINDOW, "horizon": HORIZON}}
+    config = _SUMMARY_CONFIG
     lines = sinks.summary_rows(metrics(spark, sf), counts, config, "events", datetime(2025, 1, 1))
     sinks.write_summary(lines, path)
     return spark.read.text(path).select("symbol", "value")

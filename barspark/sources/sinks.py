@@ -13,9 +13,9 @@ REPORT_COLUMNS = ("Timestep", "Komponen", "Metrik", "Nilai")
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Metric rows as one headered CSV file. They number a few per symbol, step and component."""
+    """Metric rows as headered CSV files in one folder, written by as many tasks as there are partitions."""
     columns = [c for c in ("symbol", *REPORT_COLUMNS) if c in metrics.columns]
-    metrics.select(*columns).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    metrics.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_forecast(forecast: DataFrame, path: str, fmt: str = "csv") -> None:

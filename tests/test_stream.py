@@ -60,7 +60,9 @@ def test_stops_move_once_over_batches(spark, tmp_path):
     prices = [[10.5, 11.5], [12.0, 8.0], [13.0, 7.0]]
     for epoch, pair in enumerate(prices):
         rows = [("A", START + timedelta(days=1, hours=2 * epoch + k), p, p) for k, p in enumerate(pair)]
-        sink(spark.createDataFrame(rows, "symbol string, ts timestamp, bid double, ask double"), epoch)
+        batch = spark.createDataFrame(rows, "symbol string, ts timestamp, bid double, ask double")
+        sink(batch, epoch)
+        sink(batch, epoch)  # a repeated batch overwrites its own result
     moved = ss.read_output(spark, str(tmp_path), "moves").orderBy("ticket").toPandas()
     assert moved.ticket.tolist() == [1, 2] and moved.epoch.tolist() == [0, 1]
     assert moved.new_sl.tolist() == [10.764, 9.236]
@@ -70,3 +72,11 @@ def test_reconciliation_sink(spark, tmp_path):
     tracked = spark.createDataFrame([(1,), (2,)], "ticket long")
     ss.reconcile_sink(str(tmp_path), tracked, lambda: tracked.filter("ticket = 2"))(tracked, 0)
     assert [r.ticket for r in ss.read_output(spark, str(tmp_path), "stale").collect()] == [1]
+
+
+def test_zone_state_is_bounded_whatever_the_history(spark, tmp_path):
+    pdf = random_bars(400, "A", 3)
+    sink = ss.zone_sink(str(tmp_path), 10, layout=SMALL)
+    for epoch, a in enumerate(range(0, 400, 200)):
+        sink(spark.createDataFrame(pdf[a : a + 200]), epoch)
+        assert spark.read.parquet(f"{tmp_path}/zone_state/epoch={epoch}").count() == 12
