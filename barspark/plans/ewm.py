@@ -67,6 +67,8 @@ def ewm(
             *[f"`{c}`" for c in df.columns],
             *[f"case when _r_{c} is not null then _a_{o} * (_x_{c} + _s_{o}) end as {o}" for o, (c, _) in specs.items()],
         )
+    # written once: the chunk ends and the result would each run all windows below again
+    summed = stage(summed, "scan")
     ends = summed.filter(chunk_end_sql(layout)).selectExpr(
         "symbol",
         "_chunk",

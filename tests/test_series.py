@@ -1,3 +1,5 @@
+import importlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -96,3 +98,21 @@ def test_layout_is_checked():
         Layout("H2")
     with pytest.raises(ValueError):
         Layout(chunk_rows=0)
+
+
+def test_one_symbol_gives_bounded_groups_of_chunk_summaries(spark, monkeypatch):
+    module = importlib.import_module("barspark.plans.ewm")
+
+    staged = {}
+
+    def keep(df, label, write=module.stage):
+        staged[label] = write(df, label)
+        return staged[label]
+
+    monkeypatch.setattr(module, "stage", keep)
+    layout = Layout("H1", bucket_slots=50, chunk_rows=16, fanout=4)
+    df = spark.createDataFrame(random_bars(1000, seed=5)).select("symbol", "ts", "close")
+    ewm(settle(spread(number_rows(df, layout), layout)), {"a": ("close", 0.1)}, layout)
+    groups = staged["carry"].groupBy("_group").count().toPandas()
+    # the chunks of a group and its total; then one total for each group
+    assert groups["count"].max() <= layout.fanout + 1 and len(groups) == -(-1000 // (16 * 4))

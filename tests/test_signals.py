@@ -223,3 +223,17 @@ def test_quotes_at(spark):
     want = pd.merge_asof(ask_at.sort_values("ts"), quotes.sort_values(["ts", "tick_id"]), on="ts", by="symbol")
     want = want.sort_values("k", ignore_index=True)
     assert len(got) == 90 and (got.bid.fillna(-1) == want.bid.fillna(-1)).all()
+
+
+def test_clock_nodes_have_bounded_children(spark):
+    """One symbol holds all quotes, some of them microseconds apart."""
+    quotes = spark.range(20_000).selectExpr(
+        "'A' as symbol",
+        "timestamp_micros(1704067200000000 + case when id < 15000 then id else (id - 14999) * 86400000000 end) as ts",
+        "1.0D as bid",
+        "1.0D as ask",
+    )
+    seconds = trailing._extremes(quotes, 2)
+    for level in range(1, trailing.ROOT):
+        most = trailing._nodes(quotes, seconds, level).selectExpr("max(size(_children)) as n").first().n
+        assert most <= 1000
