@@ -1,5 +1,5 @@
 import pytest
-from llm_samples import AWKWARD, CLASHING, SCHEMA
+from .llm_samples import AWKWARD, CLASHING, SCHEMA
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,7 @@ import pytest
 
 from barspark.llm import decontaminate as D
 
-from llm_samples import AWKWARD, words
+from .llm_samples import AWKWARD, words
 
 ITEMS = [(1, words(25, 50)), (10, words(25, 50)), (2, "three short words"), (3, ""), (4, None), (None, words(30, 51)), (5, words(10, 52))]
 DOCS = AWKWARD + [

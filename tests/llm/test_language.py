@@ -5,7 +5,7 @@ import pytest
 
 from barspark.llm import language as G
 
-from llm_samples import AWKWARD
+from .llm_samples import AWKWARD
 
 STEMS = {"aa": "ka to mi nu sa re", "bb": "szcz ow dzi prz yk ny", "cc": "при ве стро на ко ми"}
 

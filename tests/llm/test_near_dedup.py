@@ -8,7 +8,7 @@ from barspark.llm import near_dedup as N
 from barspark.llm import shingles as S
 from barspark.llm.components import connected_components
 
-from llm_samples import AWKWARD, words
+from .llm_samples import AWKWARD, words
 
 
 def shingle_set(text, width=4):

@@ -4,9 +4,9 @@ import pytest
 import corpus_pipeline as P
 from barspark.llm import decontaminate, secret_scan
 
-from llm_samples import AWKWARD, CLASHING, words
-from test_near_dedup import brute, family
-from test_toxicity import toxic
+from .llm_samples import AWKWARD, CLASHING, words
+from .test_near_dedup import brute, family
+from .test_toxicity import toxic
 
 SECRET = " password=abcdefghijklmnop "
 ITEM = words(30, 5000)

@@ -3,7 +3,7 @@ import re
 
 from barspark.llm import secret_scan as S
 
-from llm_samples import AWKWARD
+from .llm_samples import AWKWARD
 
 ASSIGN = r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 

@@ -5,7 +5,7 @@ import pytest
 
 from barspark.llm import toxicity as X
 
-from llm_samples import AWKWARD, words
+from .llm_samples import AWKWARD, words
 
 BAD = ["vilefoo", "grimbar", "mudqux"]
 
