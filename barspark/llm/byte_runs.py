@@ -16,7 +16,7 @@ from .shingles import BYTE_VALUES, mix, text_bytes
 ODD_BASE = 0xD6E8FEB86659FD93
 INVERSE = pow(ODD_BASE, -1, 1 << 64)
 #: Bytes that are worked on at a time.
-PIECE = 2_000_000
+PIECE = 1_000_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:

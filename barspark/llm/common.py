@@ -75,19 +75,12 @@ def text_slices(texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def parts(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, where what is made of its texts is larger than these."""
+    for begin in range(0, batch.num_rows, rows):
+        yield batch.slice(begin, rows)
+
+
 def id_crc(column: str):
     """The CRC-32 of an id as text, by which the held-out rows are chosen; a null id counts as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0))
-
-
-def join_hot(rows: DataFrame, groups: DataFrame, on: list[str], count: str, total: int, hot_share: int = 8192) -> DataFrame:
-    """Inner join of ``rows`` with one ``groups`` row for each key, where a few keys may hold most rows.
-
-    ``count`` says how many rows a key has. Keys with more than ``total / hot_share`` rows number below
-    ``hot_share`` by arithmetic, so this side is broadcast; all others are small and are joined by a shuffle.
-    """
-    limit = max(1, total // hot_share)
-    hot = F.broadcast(groups.where(F.col(count) > limit))
-    cold = groups.where(F.col(count) <= limit)
-    rest = rows.join(F.broadcast(groups.where(F.col(count) > limit).select(*on)), on, "left_anti")
-    return rows.join(hot, on).unionByName(rest.join(cold.hint("shuffle_hash"), on))

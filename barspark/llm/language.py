@@ -34,7 +34,7 @@ PENALTY = 8.0
 WEIGHT = 0.5
 UNKNOWN = "und"
 #: Characters of text that are scored at a time, unless one text is longer.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 #: First and last code points of scripts; all else is "other".
 SCRIPT_RANGES = [

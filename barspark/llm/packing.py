@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import stage
-from .common import map_arrow
-from .tokens import ID, encoder
+from .common import map_arrow, parts
+from .tokens import CACHED, ID, encoder
 
 CAPACITY = 2048
 GROUP = 16_384
@@ -139,6 +139,7 @@ class Swaps:
             for _ in range(steps):
                 if not self.fill[bin] or not self._gain(bin):
                     break
+                given_up[:] = False  # other bins have changed: those given up may be tried again
             if self.fill[bin]:
                 given_up[bin] = True
                 failed += 1
@@ -160,28 +161,30 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 def pieces_of(
     docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", end_id: int = 0,
-    capacity: int = CAPACITY, with_ids: bool = False,
+    capacity: int = CAPACITY, with_ids: bool = False, cached: int = CACHED,
 ) -> DataFrame:
     """Encode whole texts, append ``end_id``, and cut: only the first piece may be shorter than ``capacity``.
 
-    ``with_ids`` adds ``ids``, the ids of the piece as little-endian unsigned 32-bit integers.
+    ``with_ids`` adds ``ids``, the ids of the piece as little-endian unsigned 32-bit integers. ``cached`` bounds the
+    chunks that a worker remembers.
     """
     rows = docs.select(F.col(f"`{id}`").cast("bigint").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
     tail, width = np.array([end_id], ID).tobytes(), ID.itemsize
 
     def run(batch: pa.RecordBatch):
-        code = encoder(vocabulary)
-        out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-        for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-            data = code.encode(t.as_py()) + tail
-            n = len(data) // width
-            begin, end, piece = 0, n % capacity or capacity, 0
-            while begin < n:
-                own = data[begin * width : end * width]
-                for k, v in zip(out, (d, piece, begin, end - begin, zlib.crc32(own), own if with_ids else None)):
-                    out[k].append(v)
-                begin, end, piece = end, end + capacity, piece + 1
-        yield out
+        code = encoder(vocabulary, cached)
+        for some in parts(batch):
+            out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
+            for d, data in zip(some.column(0).to_pylist(), code.encode(some.column(1).to_pylist())):
+                data += tail
+                n = len(data) // width
+                begin, end, piece = 0, n % capacity or capacity, 0
+                while begin < n:
+                    own = data[begin * width : end * width]
+                    for k, v in zip(out, (d, piece, begin, end - begin, zlib.crc32(own), own if with_ids else None)):
+                        out[k].append(v)
+                    begin, end, piece = end, end + capacity, piece + 1
+            yield out
 
     return map_arrow(rows, run, PIECES + (", ids binary" if with_ids else ""))
 
@@ -214,5 +217,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     return packed.unionByName(alone)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
-    return pack(stage(pieces_of(docs, vocabulary, with_ids=with_ids), "pieces"))
+def pack_documents(docs: DataFrame, vocabulary: str, with_ids: bool = False, cached: int = CACHED) -> DataFrame:
+    return pack(stage(pieces_of(docs, vocabulary, with_ids=with_ids, cached=cached), "pieces"))

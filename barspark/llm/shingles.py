@@ -9,7 +9,7 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of text that are hashed at a time, unless one text is longer.
-SLICE = 4_000_000
+SLICE = 1_000_000
 #: White space that parts words.
 SPACES = [0x20, *range(0x09, 0x0E)]
 

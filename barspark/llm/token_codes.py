@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans import stage_path
-from .common import map_arrow
+from .common import map_arrow, parts
 from .tokens import ID, encoder
 
 MAGIC = b"DAC1"
@@ -161,9 +161,9 @@ def write(
             at["before"] += len(data)
             return out
 
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = code.encode(t.as_py()) + tail
+        for some in (p for batch in batches for p in parts(batch)):
+            for d, own in zip(some.column(0).to_pylist(), code.encode(some.column(1).to_pylist())):
+                own += tail
                 size += len(own) // ID.itemsize
                 ids.append(own)
                 docs_in.append(d)

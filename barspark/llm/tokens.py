@@ -1,9 +1,11 @@
 """Token ids by the ``tokenizers`` library, with a cache of encoded chunks.
 
 A byte-level tokenizer whose pattern starts a new piece at every single space between two words gives the same ids
-whether a text is encoded whole or cut at such spaces. Its texts are cut there, each distinct chunk is encoded once
-for as long as the cache lasts, and chunks that are new are encoded together. Any other tokenizer, and texts that
-contain one of its added tokens, are encoded whole.
+whether a text is encoded whole or cut at such spaces, and likewise at a line break between two other characters and
+before a full stop, comma or the like that follows a letter. Texts are cut at the spaces and looked up; chunks that are
+new are encoded together, those with line breaks after a further cut. The cache has two generations: when the
+young one is full it becomes the old one, and what is used again comes back. Any other tokenizer, and texts that contain
+one of its added tokens, are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,17 +17,25 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import text_slices
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
 NEXT_TO_SPACE = re.compile(r"\s | \s")
-#: Chunks that a worker remembers, and characters that are encoded in one call.
-CACHED, CALL_CHARS = 400_000, 200_000
+#: Chunks in a generation of a worker's cache; characters, and chunks, that are encoded in one call.
+CACHED, CALL_CHARS, CALL_KEYS = 400_000, 200_000, 20_000
+#: Characters of text whose chunks are looked up together, unless one text is longer.
+SLICE = 1_000_000
+#: Marks that begin a piece of their own after a letter (fixed values), and the letters for which that is used.
+MARKS, LAST_LETTER = frozenset(".,;:!?"), "\u024f"
 ID = np.dtype("<u4")
+#: A chunk without its leading space, or the first chunk of a text in a tuple.
+Key = str | tuple[str]
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached: int = CACHED) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,64 +50,118 @@ class Encoder:
         )
         line = self._whole("\n") if self.cuts else b""
         self.line = int(np.frombuffer(line, ID)[0]) if len(line) == ID.itemsize else None
-        self.known: dict[str, bytes] = {}
+        self.cached = cached
+        self.known: dict[Key, bytes] = {}
+        self.old: dict[Key, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks: those without line breaks together, parted by them."""
-        if len(self.known) + len(chunks) > CACHED:
-            self.known.clear()
-        together: list[str] = []
+    @staticmethod
+    def parts(chunk: str) -> list[str]:
+        """Parts of a chunk that may be encoded each for itself."""
+        lines = chunk.split("\n")
+        if len(lines) > 1 and any(not x or x[-1].isspace() or (k and x[0].isspace()) for k, x in enumerate(lines)):
+            return [chunk]
+        out: list[str] = []
+        for k, line in enumerate(lines):
+            if k:
+                out.append("\n")
+            if len(line) > 1 and line[-1] in MARKS and line[-2].isalpha() and line[-2] <= LAST_LETTER:
+                out += [line[:-1], line[-1]]
+            else:
+                out.append(line)
+        return out
+
+    def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of distinct chunks: those without line breaks together, parted by them."""
+        out: dict[str, bytes] = {}
+        together: list[list[str]] = [[]]
         size = 0
         for chunk in chunks:
             if self.line is None or "\n" in chunk or not chunk or chunk[-1].isspace():
-                self.known[chunk] = self._whole(chunk)
+                out[chunk] = self._whole(chunk)
                 continue
-            together.append(chunk)
-            size += len(chunk)
             if size > CALL_CHARS:
-                self._learn_together(together)
-                together, size = [], 0
-        if together:
-            self._learn_together(together)
-
-    def _learn_together(self, chunks: list[str]) -> None:
-        ids = np.frombuffer(self._whole("\n".join(chunks)), ID)
-        ends = np.concatenate((np.flatnonzero(ids == self.line), [len(ids)]))
-        if len(ends) != len(chunks):  # the pattern joined a break with something: encode one by one
-            self.known.update((c, self._whole(c)) for c in chunks)
-            return
-        data, begin = ids.tobytes(), 0
-        for chunk, end in zip(chunks, (ends * ID.itemsize).tolist()):
-            self.known[chunk] = data[begin:end]
-            begin = end + ID.itemsize
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers; none for null or empty."""
-        if not text:
-            return b""
+                together.append([])
+                size = 0
+            together[-1].append(chunk)
+            size += len(chunk)
+        calls = self.tokenizer.encode_batch_fast(["\n".join(c) for c in together], add_special_tokens=False)
+        for own, call in zip(together, calls):
+            ids = np.array(call.ids, ID)
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+            if len(ends) != len(own):  # the pattern joined a break with something: encode one by one
+                out.update((c, self._whole(c)) for c in own)
+                continue
+            data, begin = ids.tobytes(), 0
+            for chunk, end in zip(own, (ends * ID.itemsize).tolist()):
+                out[chunk] = data[begin:end]
+                begin = end + ID.itemsize
+        return out
+
+    def _encode_plain(self, keys: list[str]) -> dict[Key, bytes]:
+        """Ids of keys without any white space, many to a call, parted by line breaks."""
+        out: dict[Key, bytes] = {}
+        for begin in range(0, len(keys), CALL_KEYS):
+            own = keys[begin : begin + CALL_KEYS]
+            call = self.tokenizer.encode_batch_fast([" " + "\n ".join(own)], add_special_tokens=False)[0]
+            ids = np.array(call.ids, ID)
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) != len(own) - 1:  # the pattern joined a break with something: encode one by one
+                out.update((k, self._whole(" " + k)) for k in own)
+                continue
+            data = ids.tobytes()
+            stops = [*(ends * ID.itemsize).tolist(), len(data)]
+            starts = [0, *(ends * ID.itemsize + ID.itemsize).tolist()]
+            out.update(zip(own, [data[i:j] for i, j in zip(starts, stops)]))
+        return out
+
+    def _learn(self, new: set[Key], known: dict[Key, bytes]) -> None:
+        """Add the ids of new keys to ``known``."""
+        again = self.old.keys() & new
+        known.update((k, self.old[k]) for k in again)
+        new = new - again
+        plain = [k for k in new if type(k) is str and k.isprintable() and k] if self.line is not None else []
+        known.update(self._encode_plain(plain))
+        if len(plain) < len(new):
+            cut = {k: self.parts(" " + k if type(k) is str else k[0]) for k in new.difference(plain)}
+            place = {p: p[1:] if p[:1] == " " else (p,) for parts in cut.values() for p in parts}
+            ids_of = {p: ids for p, k in place.items() if (ids := known.get(k)) is not None}
+            ids_of |= self._encode_new([p for p in place if p not in ids_of])
+            known.update((place[p], ids) for p, ids in ids_of.items())
+            known.update((key, b"".join([ids_of[p] for p in parts])) for key, parts in cut.items())
+
+    def _keys(self, text: str) -> list[Key] | None:
+        """The chunks of a text, without the space that each begins with; the first one, without a space, in a tuple."""
         if not self.cuts or any(t in text for t in self.added):
-            return self._whole(text)
+            return None
         if NEXT_TO_SPACE.search(text):
-            chunks = BETWEEN_WORDS.split(text)
+            keys: list[Key] = [c[1:] for c in BETWEEN_WORDS.split(text)]
+            keys[0] = (BETWEEN_WORDS.split(text, 1)[0],)
         else:
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + w for w in rest]] if rest else [first]
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            if len(new) > CACHED // 2:  # one text with more distinct chunks than fit beside others
-                return b"".join(self._whole(c) for c in chunks)
-            self._learn(new)
-            if len(known) <= len(new):  # the cache was emptied
-                self._learn([c for c in dict.fromkeys(chunks) if c not in known])
-            return b"".join([known[c] for c in chunks])
+            keys = text.split(" ")
+            keys[0] = (keys[0],)
+        return keys
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; none for null or empty."""
+        out: list[bytes] = []
+        cleaned = [t or "" for t in texts]
+        for a, b in text_slices(cleaned, SLICE):
+            lists = [self._keys(t) for t in cleaned[a:b]]
+            used: set[Key] = set().union(*[x for x in lists if x is not None])
+            new = used.difference(self.known)
+            if len(self.known) + len(new) > self.cached:
+                self.old, self.known = self.known, {}
+                new = used
+            if new:
+                self._learn(new, self.known)
+            ids = self.known.__getitem__
+            out += [self._whole(t) if x is None else b"".join(map(ids, x)) for t, x in zip(cleaned[a:b], lists)]
+        return out
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cached: int = CACHED) -> Encoder:
+    return Encoder(path, cached)

@@ -31,7 +31,7 @@ STEM = 4
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=50_000)
 def _word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
 

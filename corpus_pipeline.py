@@ -18,6 +18,8 @@ from barspark.plans import stage
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Words in a shingle of the near-duplicate stage.
 WIDTH = 5
+#: Token chunks that a worker remembers; it also holds what earlier stages left.
+CACHED = 150_000
 #: Scores from which a document is rejected.
 TOXIC = 0.5
 
@@ -62,7 +64,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, VOCABULARY)
+    return packing.pack_documents(docs, VOCABULARY, cached=CACHED)
 
 
 STAGES = [
