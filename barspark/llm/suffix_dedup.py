@@ -9,8 +9,9 @@ A byte goes if a ``LENGTH``-byte string that covers it also starts elsewhere, in
 * **Only what can repeat.** The anchors of all homes are counted; a fragment whose anchor occurs once holds nothing that
   repeats. Which anchors occur again goes out as a bitmap of at most ``MOST_BITS`` bits; a bit shared by chance only
   lets a fragment through in vain.
-* **Suffix arrays.** A shard's fragments are sorted by Larsson and Sadakane's refinement, which doubles the sorted
-  prefix and sorts again only what is still tied, up to ``LENGTH`` bytes. Kasai's rule gives the common prefixes of
+* **Suffix arrays.** Equal fragments of a shard are counted once more; the only fragment of an anchor needs no sorting.
+  The others are sorted by Larsson and Sadakane's refinement, which doubles the sorted prefix and sorts again only what
+  is still tied, up to ``LENGTH`` bytes. Kasai's rule gives the common prefixes of
   neighbours, in lockstep over the fragments. Neighbours that share ``LENGTH`` bytes are one string.
 * **Merging.** An anchor with many fragments is split over several shards. Their distinct strings are then looked up by
   binary search among the sorted strings of the anchor's other shards.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,26 +92,32 @@ def count_anchors(rows: DataFrame, length: int, anchor: int) -> DataFrame:
     return map_arrow(rows.select("text"), run, "h bigint, n bigint")
 
 
-def suffix_array(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """``starts`` sorted by their first ``length`` bytes, and the 8 bytes from each place on as a number.
+def suffix_array(
+    data: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int, group: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """``starts`` sorted by group and then by their first ``length`` bytes, and the 8 bytes from each place on as a number.
 
-    ``ends`` has the end of the fragment at each place. Larsson-Sadakane: a rank is the last place of its group, so
-    groups keep their rank while others are refined, and only tied groups are sorted again.
+    ``ends`` has the end of the fragment at each place, ``group`` the number of its anchor: only strings of one anchor
+    can be equal, so each anchor's suffixes are an array of their own. Larsson-Sadakane: a rank is the last place of its
+    group, so groups keep their rank while others are refined, and only tied groups are sorted again.
     """
     n = len(data)
     padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
     word = np.zeros(n, np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | padded[k : n + k]
-    order = np.argsort(word, kind="stable")
-    sorted_words = word[order]
+    if len(group) and int(group.max()) >= 1 << 24:
+        raise ValueError("a shard has fewer than 2 ** 24 anchors")
+    reach = 5
+    first_key = (group.astype(np.uint64) << np.uint64(40)) | (word >> np.uint64(24))
+    order = np.argsort(first_key, kind="stable")
+    sorted_words = first_key[order]
     last = np.flatnonzero(np.concatenate((sorted_words[1:] != sorted_words[:-1], [True])))
     sizes = np.diff(last, prepend=-1)
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(last, sizes)
     tied = np.repeat(sizes > 1, sizes)
     slots, open_ = np.flatnonzero(tied), order[tied]  # places in the order, and what stands there
-    reach = 8
     while reach < length and len(open_):
         step = min(reach, length - reach)
         nxt = open_ + step
@@ -175,39 +183,60 @@ def _runs(starts: np.ndarray) -> list[dict]:
 FOUND = f"h bigint, d bigint, runs {B.RUNS}, single array<struct<at: bigint, low: bigint, high: bigint>>"
 
 
-def _search_shard(table: pa.Table, length: int) -> pa.Table:
-    """By fragment the starts of strings that repeat here; of split anchors also one start of each string."""
-    bodies: dict[bytes, int] = {}
-    h, d, n, split = (table[c].to_numpy() for c in ("h", "d", "n", "split"))
-    which = np.array([bodies.setdefault(b, len(bodies)) for c in table["body"].chunks for b in c.to_pylist()], np.int64)
-    copies = np.bincount(which, weights=n).astype(np.int64)
-    row = np.unique(which, return_index=True)[1]
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    sizes = np.array([len(b) for b in bodies])
+def _sorted_part(
+    bodies: pa.Array, h: np.ndarray, d: np.ndarray, copies: np.ndarray, split: np.ndarray, anchor: np.ndarray,
+    found: dict[str, list], length: int,
+) -> None:
+    """Add to ``found`` what the suffix arrays of these distinct fragments tell."""
+    sizes = pa.compute.binary_length(bodies).to_numpy()
+    data = np.frombuffer(b"".join(bodies.to_pylist()), np.uint8)
     stop = np.cumsum(sizes)
     first, last = stop - sizes, stop - length
     owner = np.repeat(np.arange(len(sizes)), sizes)
     starts = np.flatnonzero(np.arange(len(data)) <= last[owner])
-    order, word = suffix_array(data, stop[owner], starts, length)
+    order, word = suffix_array(data, stop[owner], starts, length, anchor[owner])
     same = common_prefixes(order, word, first, last, length) >= length
     group = np.cumsum(~same) - 1
     total = np.bincount(group, weights=copies[owner[order]])[group]
     repeats = np.sort(order[total > 1])
-    found = {"h": [], "d": [], "runs": [], "single": []}
     # of split anchors one of each string, whether it repeats here or not: another shard may hold it once
-    alone = np.sort(order[~same & split[row][owner[order]]])
+    alone = np.sort(order[~same & split[owner[order]]])
     windows = _string_hashes(data, alone, length) if len(alone) else None
     cuts = np.searchsorted(repeats, stop), np.searchsorted(alone, stop)
     a0 = b0 = 0
     for i, (a1, b1) in enumerate(zip(*(c.tolist() for c in cuts))):
         if a1 > a0 or b1 > b0:
-            found["h"].append(int(h[row[i]]))
-            found["d"].append(int(d[row[i]]))
+            found["h"].append(int(h[i]))
+            found["d"].append(int(d[i]))
             found["runs"].append(_runs(repeats[a0:a1] - first[i]) if a1 > a0 else [])
             found["single"].append([
                 {"at": int(alone[k] - first[i]), "low": int(windows[0][k]), "high": int(windows[1][k])} for k in range(b0, b1)
             ])
         a0, b0 = a1, b1
+
+
+def _search_shard(table: pa.Table, length: int) -> pa.Table:
+    """By fragment the starts of strings that repeat here; of split anchors also one start of each string."""
+    table = table.sort_by([("h", "ascending"), ("d", "ascending")])
+    h, d, n, split = (table[c].to_numpy() for c in ("h", "d", "n", "split"))
+    cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
+    copies = np.add.reduceat(n, cut)
+    h, d, split = h[cut], d[cut], split[cut]
+    anchor = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
+    alike = np.bincount(anchor)[anchor] == 1  # the only fragment of its anchor: a sorted array as it is
+    found = {"h": [], "d": [], "runs": [], "single": []}
+    bodies = table["body"].take(pa.array(cut)).combine_chunks()
+    bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
+    sizes = pa.compute.binary_length(bodies).to_numpy()
+    settled = alike & ~split
+    for i in np.flatnonzero(settled & (copies > 1)).tolist():
+        found["h"].append(int(h[i]))
+        found["d"].append(int(d[i]))
+        found["runs"].append([{"start": 0, "end": int(sizes[i]) - length + 1}])
+        found["single"].append([])
+    row = np.flatnonzero(~settled)
+    if len(row):
+        _sorted_part(bodies.take(pa.array(row)), h[row], d[row], copies[row], split[row], anchor[row], found, length)
     schema = pa.schema([
         ("h", pa.int64()), ("d", pa.int64()),
         ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),

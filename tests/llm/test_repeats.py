@@ -8,7 +8,7 @@ from barspark.llm import byte_runs as B
 from barspark.llm import chunk_dedup as C
 from barspark.llm import suffix_dedup as X
 
-from llm_samples import AWKWARD, words
+from .llm_samples import AWKWARD, words
 
 PASSAGE = words(70, 90)
 ROWS = AWKWARD + [
@@ -87,12 +87,14 @@ def test_suffix_array_and_prefixes(seed):
     stop = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(parts)), sizes)
     starts = np.flatnonzero(np.arange(len(data)) <= (stop - length)[owner])
-    order, word = X.suffix_array(data, stop[owner], starts, length)
-    strings = [data[k : k + length].tobytes() for k in order.tolist()]
-    assert strings == sorted(strings) and sorted(order.tolist()) == starts.tolist()
-    shared = X.common_prefixes(order, word, stop - sizes, stop - length, length)
-    expected = [0] + [next((i for i in range(length) if a[i] != b[i]), length) for a, b in zip(strings, strings[1:])]
-    assert shared.tolist() == expected
+    for group in (np.zeros(len(data), np.int64), owner // 4):
+        order, word = X.suffix_array(data, stop[owner], starts, length, group)
+        strings = [data[k : k + length].tobytes() for k in order.tolist()]
+        keys = list(zip(group[order].tolist(), strings))
+        assert keys == sorted(keys) and sorted(order.tolist()) == starts.tolist()
+        shared = X.common_prefixes(order, word, stop - sizes, stop - length, length)
+        expected = [0] + [next((i for i in range(length) if a[i] != b[i]), length) for a, b in zip(strings, strings[1:])]
+        assert shared.tolist() == expected
 
 
 def brute_chunks(rows):
