@@ -1,12 +1,14 @@
 """Repeated substrings by content-defined chunks.
 
-A gear rolling hash over the last ``WINDOW`` bytes ends a chunk where its top bits are zero, ``LEAST`` bytes after the
+A gear rolling hash over the last ``WINDOW`` bytes of the text ends a chunk where its top bits are zero, ``LEAST`` bytes after the
 last end at the earliest and ``MOST`` at the latest, so an insertion moves only the ends near it. Chunks are counted by a
 rolling hash first; those that occur once go no further. The others get a BLAKE2 digest, the first place of each (by
 document id, then place) keeps it, and the later ones are repeats.
 
-Consecutive repeats of a text are one run. Runs of at least ``RUN`` bytes go, and texts that are repeats from end to end;
-shorter runs stay, as they may be chance. Texts are chunked in parts of ``byte_runs.PIECE`` bytes.
+Consecutive repeats of a text are one run, and every run goes that holds a whole chunk. Only what is left over at the end of
+a text or part, fewer than ``LEAST`` bytes, stays if it repeats alone and is not the whole text. Texts are chunked in parts
+of ``byte_runs.PIECE`` bytes. Chunks are small, as a shared passage keeps what its first and last chunk share with its
+surroundings: of passages of 51 words nearly all lose more than half.
 
 Null texts are empty and lose nothing. Rows that repeat an id and its text are one document. A null id sorts first. Every
 input row gives one output row. An empty table gives no rows.
@@ -28,9 +30,10 @@ from .repeats import bitmap_of, listed
 from .shingles import BYTE_VALUES
 
 WINDOW = 32
-TOP_BITS = 5
-LEAST, MOST = 32, 256
-RUN = 128
+TOP_BITS = 4
+LEAST, MOST = 16, 256
+#: The least bytes of a run: those of a chunk.
+RUN = LEAST
 GEAR = (BYTE_VALUES >> np.uint64(32)).astype(np.uint32)
 
 
@@ -44,9 +47,20 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return value
 
 
+def own_hashes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The rolling hash at each byte without the bytes before its text; chunks may be shorter than the window."""
+    value = gear_hashes(data)
+    begin, shift = places[1:-1], np.arange(1, WINDOW)
+    at = begin[:, None] + shift - 1
+    near = at < places[2:, None]
+    out = value.copy()
+    out[at[near]] -= (value[begin - 1][:, None] << shift.astype(np.uint32))[near]
+    return out
+
+
 def chunk_ends(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last place (exclusive) of every chunk; none crosses ``places``, the begins of texts and the end."""
-    ends = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - TOP_BITS) == 0) + 1
+    ends = np.flatnonzero(own_hashes(data, places) >> np.uint32(32 - TOP_BITS) == 0) + 1
     out: list[int] = []
     cuts = np.searchsorted(ends, places).tolist()
     listed_ends, bounds = ends.tolist(), places.tolist()

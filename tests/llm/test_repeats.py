@@ -143,6 +143,23 @@ def test_shared_passages_are_caught_and_clean_texts_stay(make):
     assert got[0] == 0 and all(got[k] > 100 for k in range(1, 8)) and not any(got[100 + k] for k in range(20))
 
 
+def test_passages_of_just_over_fifty_words_go(make):
+    passages = [words(51 + k % 10, 5000 + k) for k in range(200)]
+    rows = [(k, words(40, 6000 + k) + " " + p + " " + words(40, 7000 + k)) for k, p in enumerate(passages)]
+    rows += [(1000 + k, words(50, 8000 + k) + " " + p + " " + words(30, 9000 + k)) for k, p in enumerate(passages)]
+    got = {r.doc_id: r.n_removed for r in C.remove_repeats(make(rows)).collect()}
+    shares = np.array([got[1000 + k] / len(p) for k, p in enumerate(passages)])
+    assert not any(got[k] for k in range(200)) and shares.max() < 1.05
+    assert shares.min() > 0 and (shares > 0.5).mean() >= 0.97
+
+
+def test_short_repeats_go(make):
+    line = words(16, 5500)
+    rows = [(k, words(30, 6500 + k) + "\n" + line + "\n" + words(30, 7500 + k)) for k in range(60)]
+    got = {r.doc_id: r.n_removed for r in C.remove_repeats(make(rows)).collect()}
+    assert got[0] == 0 and sum(got[k] > 0 for k in range(1, 60)) >= 45
+
+
 def test_bitmap_keeps_every_hash(spark):
     from barspark.llm.repeats import bitmap_of, listed
 
