@@ -11,7 +11,9 @@ rows to visit is found on the same sample: the least at which ``PROBES`` of its
 each cell.
 
 Rows are dealt to blocks of about ``BLOCK`` by cell; a cell with more than a quarter of that is split, so one cell may
-hold any share of the rows. A query goes once to each block that holds its cells and brings back its best there.
+hold any share of the rows. A query goes once to each block that holds its cells and brings back its best there. The
+queries of a block are dealt to parts of about ``ASKED``, each with a copy of the block's rows, so what a task holds at a
+time does not grow with the table.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id,
 nor vectors whose dimension is not the commonest (of equals the larger). Of rows that repeat an id one counts. A query
@@ -37,7 +39,9 @@ SAMPLE = 16_000
 PROBES = 200
 RECALL = 0.96
 BLOCK = 8192
-#: Queries that a block compares at a time.
+#: Queries that meet a block in one group.
+ASKED = 4096
+#: Queries that a group compares at a time.
 AT_ONCE = 256
 
 
@@ -177,6 +181,7 @@ def search(
         yield {"block": pa.array(block_of(cell, part)), "vec_id": batch.column(0), "v": batch.column(1), "cell": batch.column(2)}
 
     def ask(batch: pa.RecordBatch):
+        asked_part = mix(batch.column(0).to_numpy().astype(np.uint64) * GOLD + np.uint64(1)) % np.uint64(groups)
         for i, q in enumerate(_matrix(batch.column(1))):
             visited = np.array(full.value.visit(q, wanted), np.int64)
             parts = parts_of(visited)
@@ -187,18 +192,18 @@ def search(
             own, cell = own[order], cell[order]
             cuts = np.flatnonzero(np.diff(own, prepend=-1))
             yield {
-                "block": pa.array(own[cuts]),
+                "block": pa.array(own[cuts]), "part": [int(asked_part[i])] * len(cuts),
                 "query_id": [batch.column(0)[i].as_py()] * len(cuts),
                 "q": [q.tolist()] * len(cuts),
                 "cells": [np.unique(c).tolist() for c in np.split(cell, cuts[1:])],
             }
 
-    dealt = map_arrow(cells, deal, "block bigint, vec_id bigint, v array<double>, cell bigint")
     condition = F.col("vec_id") % 20 == 0 if queries is None else queries
-    asked = map_arrow(
-        rows.where(condition).select("vec_id", "v"), ask,
-        "block bigint, query_id bigint, q array<double>, cells array<bigint>",
-    )
+    chosen = rows.where(condition).select("vec_id", "v")
+    groups = max(1, -(-chosen.count() // ASKED))
+    dealt = map_arrow(cells, deal, "block bigint, vec_id bigint, v array<double>, cell bigint")
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))))
+    asked = map_arrow(chosen, ask, "block bigint, part bigint, query_id bigint, q array<double>, cells array<bigint>")
 
     def compare(queries: pa.Table, own: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -207,11 +212,10 @@ def search(
             ids, v = own["vec_id"].to_numpy(), _matrix(own["v"].combine_chunks())
             names, place = np.unique(own["cell"].to_numpy(), return_inverse=True)
             asks, q = queries["query_id"].to_numpy(), _matrix(queries["q"].combine_chunks())
-            lists = queries["cells"].to_pylist()
             for begin in range(0, len(asks), AT_ONCE):
                 some = slice(begin, begin + AT_ONCE)
                 wanted = np.zeros((len(asks[some]), len(names)), bool)
-                for i, cells in enumerate(lists[some]):
+                for i, cells in enumerate(queries["cells"].slice(begin, AT_ONCE).to_pylist()):
                     at = np.searchsorted(names, cells)
                     wanted[i, at[at < len(names)][names[at[at < len(names)]] == np.array(cells)[at < len(names)]]] = True
                 scores = q[some] @ v.T
@@ -229,7 +233,7 @@ def search(
                     out["score"] += exact[best].tolist()
         return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), (pa.int64(), pa.int64(), pa.float64()))})
 
-    found = asked.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(
+    found = asked.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInArrow(
         compare, "query_id bigint, vec_id bigint, score double"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

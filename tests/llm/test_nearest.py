@@ -43,6 +43,28 @@ def test_recall_and_scores(spark, kind):
     assert hits >= 0.9 * 20 * len(expected)
 
 
+def test_groups_hold_a_bounded_number_of_queries(spark, monkeypatch):
+    vectors = np.random.default_rng(3).normal(0, 1, (600, 8))
+    search = lambda: sorted(
+        (r.query_id, r["rank"], r.vec_id, r.score) for r in V.search(table(spark, rows_of(vectors)), codes=8, block=100, queries="vec_id % 3 = 0").collect()
+    )
+    whole = search()
+    cogrouped = type(spark.range(1).groupBy("id").cogroup(spark.range(1).groupBy("id")))
+    apply = cogrouped.applyInArrow
+
+    def watched(self, fn, schema):
+        def run(queries, own):
+            if queries.num_rows > 40 or own.num_rows > 200:
+                raise ValueError(f"a group of {queries.num_rows} queries and {own.num_rows} rows")
+            return fn(queries, own)
+
+        return apply(self, run, schema)
+
+    monkeypatch.setattr(cogrouped, "applyInArrow", watched)
+    monkeypatch.setattr(V, "ASKED", 20, raising=False)
+    assert search() == whole and len(whole) == 200 * 20
+
+
 def test_one_vector_held_by_most_rows(spark):
     rng = np.random.default_rng(1)
     vectors = np.where(rng.random((800, 1)) < 0.6, np.ones((1, 8)), rng.normal(0, 1, (800, 8)))
