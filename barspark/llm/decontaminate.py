@@ -173,49 +173,91 @@ def find_hits(
     )
 
 
+def _cut(text: str, hit: np.ndarray, least_left: int) -> str | None:
+    """The text without the hit words; ``None`` if fewer than ``least_left`` words remain."""
+    if len(hit) - int(hit.sum()) < least_left:
+        return None
+    spots = list(PLAIN_WORD.finditer(ascii_lower(text)))
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+    out, free = [], 0
+    for a, b in edges.reshape(-1, 2).tolist():
+        out.append(text[free : spots[a].start()])
+        free = spots[b - 1].end()
+    return "".join([*out, text[free:]])
+
+
 def _without_hits(windows: Windows, text: str | None, least_left: int) -> str | None:
     """The text without its hits; ``None`` if fewer than ``least_left`` words remain of a text with hits."""
-    while True:  # what closes up over a gap may be a window again
-        spots = list(PLAIN_WORD.finditer(ascii_lower(text))) if text else []
-        hit, _ = windows.find([m[0] for m in spots])
+    while text:  # what closes up over a gap may be a window again
+        hit, _ = windows.find(words_of(text))
         if not hit.any():
-            return text
-        if len(spots) - int(hit.sum()) < least_left:
-            return None
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-        out, free = [], 0
-        for a, b in edges.reshape(-1, 2).tolist():
-            out.append(text[free : spots[a].start()])
-            free = spots[b - 1].end()
-        text = "".join([*out, text[free:]])
+            break
+        text = _cut(text, hit, least_left)
+    return text
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_left: int = 1, width: int = WIDTH) -> DataFrame:
     """The documents without their hit words and what stands between these; other texts stay as they are.
 
-    A document of which fewer than ``least_left`` words would remain goes whole. Several slices are taken one after
-    the other, each result written before the next.
+    A document of which fewer than ``least_left`` words would remain goes whole. With several slices each marks its hits
+    on the unchanged text, and the text is cut once by all of them; texts that were cut are searched again by every
+    slice, until none has a hit. The result is that of one slice, however the items fall into slices.
     """
     columns = docs.columns
     place = columns.index(text)
     slices = _slices(benchmark, "item_id", "text")
-    part = next(slices)
-    while part is not None:
-        following = next(slices, None)
+    part, following = next(slices), next(slices, None)
+    if following is None:
         shared = docs.sparkSession.sparkContext.broadcast(Windows(part, width))
 
-        def run(batch: pa.RecordBatch, shared=shared):
+        def run(batch: pa.RecordBatch):
             before = batch.column(place).to_pylist()
             after = [_without_hits(shared.value, t, least_left) for t in before]
             kept = [i for i, (t, u) in enumerate(zip(before, after)) if t is None or u is not None]
             rest = batch.take(pa.array(kept, pa.int64()))
             yield {c: rest.column(i) for i, c in enumerate(columns)} | {text: [after[i] for i in kept]}
 
-        docs = map_arrow(docs, run, docs.schema)
-        if following is not None:
-            docs = stage(docs, "clean")
-        part = following
-    return docs
+        return map_arrow(docs, run, docs.schema)
+
+    mark = "_hits"
+    while mark in columns:
+        mark += "_"
+    done, slices = [], chain([part, following], slices)
+    while True:
+        marked = docs.withColumn(mark, F.lit(None).cast("binary"))
+        for part in slices:  # written, so the driver holds one slice at a time
+            marked = stage(_marked(marked, part, columns, text, mark, width), "marked")
+        done.append(marked.where(F.col(mark).isNull()).drop(mark))
+        marked = marked.where(F.col(mark).isNotNull())
+        if marked.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+
+        def cut(batch: pa.RecordBatch):
+            texts, hits = (batch.column(i).to_pylist() for i in (place, len(columns)))
+            after = [_cut(t, np.frombuffer(h, bool), least_left) for t, h in zip(texts, hits)]
+            kept = [i for i, t in enumerate(after) if t is not None]
+            rest = batch.take(pa.array(kept, pa.int64()))
+            yield {c: rest.column(i) for i, c in enumerate(columns)} | {text: [after[i] for i in kept]}
+
+        docs, slices = stage(map_arrow(marked, cut, docs.schema), "cut"), _slices(benchmark, "item_id", "text")
+
+
+def _marked(
+    df: DataFrame, items: list[tuple[int, str | None]], columns: list[str], text: str, mark: str, width: int
+) -> DataFrame:
+    """The rows with ``mark`` (a byte for each word, null without hits) united with the hits of these items."""
+    shared = df.sparkSession.sparkContext.broadcast(Windows(items, width))
+    place = columns.index(text)
+
+    def run(batch: pa.RecordBatch):
+        marks = batch.column(len(columns)).to_pylist()
+        for i, t in enumerate(batch.column(place).to_pylist()):
+            hit, _ = shared.value.find(words_of(t))
+            if hit.any():
+                marks[i] = (hit if marks[i] is None else hit | np.frombuffer(marks[i], bool)).tobytes()
+        yield {c: batch.column(i) for i, c in enumerate(columns)} | {mark: marks}
+
+    return map_arrow(df, run, df.schema)
 
 
 def digest(hits: DataFrame) -> DataFrame:

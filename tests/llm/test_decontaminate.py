@@ -59,6 +59,32 @@ def test_many_slices_give_the_same(make, benchmark_table, monkeypatch):
     assert rows_of(D.find_hits(cleaned, benchmark_table)) == brute([(r.doc_id, r.text) for r in cleaned.collect()], ITEMS)
 
 
+def test_spans_over_slices_equal_one_slice(spark, make, monkeypatch):
+    w, a, b = words(40, 70).split(), words(6, 71), words(6, 72)
+    join = lambda *parts: " ".join(x if isinstance(x, str) else " ".join(x) for x in parts)
+    items = [
+        (1, join(w[:14])), (2, join(w[9:24])), (3, join(w[20:32])),  # overlap each other
+        (4, join(a, b)), (5, join(w[30:])),
+        (6, join(w[:5], a.split()[:3])),
+    ]
+    rows = [
+        (1, join("before", w[:32], "after")),
+        (2, join(w[:24])),  # nothing is left by two items together
+        (3, join("x", a, w[:14], b, "y")),  # closes up over one item to another
+        (4, join("x", a, w[:24], b, w[30:], "y")),
+        (5, join(w[2:13], w[9:20], "z")),
+        (6, None), (7, "clean text"), (7, "clean text"),
+        (8, join(w[:5], w[30:], a.split()[:3], "tail")),
+    ]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    left = lambda n: sorted((r.doc_id, r.text or "") for r in D.remove_spans(make(rows), table, least_left=n).collect())
+    one = {n: left(n) for n in (1, 4)}
+    assert dict(one[1])[1] == "before  after" and 2 not in dict(one[1]) and dict(one[1])[3] == "x  y"
+    for size in (1, 2):
+        monkeypatch.setattr(D, "SLICE_ITEMS", size)
+        assert {n: left(n) for n in one} == one
+
+
 def test_removed_spans_leave_clean_texts(make, benchmark_table):
     cleaned = D.remove_spans(make(DOCS), benchmark_table)
     left = {r.doc_id: r.text for r in cleaned.collect()}
