@@ -4,7 +4,8 @@ Features of a text are the distinct hashed words, their stems (the first ``STEM`
 compound forms share a weight), pairs of neighbours and pairs with one or two words between.
 Labelled rows are sampled to at most about ``positives`` and ``negatives`` documents, the documented bound of the
 fit; their hashed features are computed where the rows are, and one task learns from them in the order of a hash
-of their ids, so a lost executor or another partitioning gives the same weights. The L1 term leaves few weights,
+of their ids, so a lost executor or another partitioning gives the same weights. Where the two labels were thinned by
+different shares the bias is corrected for it, so a score means the same at every size. The L1 term leaves few weights,
 which are broadcast. Scoring reads every document whole and shuffles nothing.
 
 A null or empty text has no features: its score is the base rate. Without labelled rows every score is 0. Labels
@@ -95,7 +96,7 @@ def fit(
         return None
     order = F.xxhash64("i", F.lit(7))
     unit = (F.abs(order % 1_000_000) + 0.5) / 1_000_000
-    share = {1: positives / max(1, counts.get(1, 0)), 0: negatives / max(1, counts.get(0, 0))}
+    share = {1: min(1, positives / max(1, counts.get(1, 0))), 0: min(1, negatives / max(1, counts.get(0, 0)))}
     chosen = known.where(unit < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
     texts = docs.select(F.col(f"`{id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"))
     rows = texts.join(F.broadcast(chosen), "i").select(order.alias("o"), "y", "t")
@@ -118,7 +119,9 @@ def fit(
     )
     if model is None:
         return None
-    return np.frombuffer(model.n, np.int32), np.frombuffer(model.w, np.float32), model.b
+    # the sample's odds are the table's times the ratio of the shares; with one label only there are no odds
+    moved = float(np.log(share[1] / share[0])) if len(counts) == 2 and share[1] and share[0] else 0.0
+    return np.frombuffer(model.n, np.int32), np.frombuffer(model.w, np.float32), model.b - moved
 
 
 def score(df: DataFrame, model, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:

@@ -44,6 +44,14 @@ def test_sample_bound(tables):
     assert X.fit(docs, labels, positives=20, negatives=30) is not None
 
 
+def test_scores_keep_their_level_when_labels_are_thinned(spark, make):
+    docs = make([(k, words(20, 10_000 + k)) for k in range(1200)])
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k in range(1000)], "doc_id bigint, toxic int")
+    for sample in ({}, {"positives": 100, "negatives": 100}, {"positives": 50, "negatives": 300}, {"positives": 30}):
+        held = X.score(docs, X.fit(docs, labels, **sample), keep=["doc_id"]).where("doc_id >= 1000").collect()
+        assert 0.04 < np.mean([r.score for r in held]) < 0.22, sample
+
+
 def test_awkward_rows(tables, awkward, empty):
     docs, labels = tables
     model = X.fit(docs, labels)
