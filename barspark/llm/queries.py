@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_runs, chunk_dedup, decontaminate, language, near_dedup, nearest, packing, secret_scan, suffix_dedup, token_codes, toxicity
+from . import byte_runs, chunk_dedup, decontaminate, language, merkle, near_dedup, nearest, packing, secret_scan
+from . import suffix_dedup, token_codes, token_counts, toxicity
 from .common import id_crc, read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -80,3 +82,24 @@ def op3_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_chunk_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return byte_runs.digest(chunk_dedup.remove_repeats(read(spark, sf, "documents")))
+
+
+#: Tokens beyond which ``op11_token_counts`` marks a document.
+LIMIT = 512
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return token_counts.count_tokens(docs, VOCABULARY, keep=["doc_id"], limit=LIMIT)
+
+
+@query
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    """Proofs of all documents; those whose id's CRC-32 is divisible by 5 are tampered with before they are checked."""
+    docs = read(spark, sf, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    claimed = F.when(chosen, F.translate("text", ascii_uppercase, ascii_lowercase)).otherwise(F.col("text"))
+    leaf = merkle.leaf_digest([claimed if c == "text" else F.col(c) for c in merkle.FIELDS])
+    manifest = merkle.build(docs, carry={"claimed": leaf})
+    return merkle.verify(manifest, "claimed").withColumnRenamed("id", "doc_id")

@@ -19,6 +19,11 @@ COLUMNS = {
     "op7": ["doc_id bigint", "n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_sha256 string"],
     "op8": ["doc_id bigint", "held_out boolean", "lang_pred string", "score double"],
     "op9": ["query_id bigint", "rank int", "vec_id bigint", "score double"],
+    "op11": ["doc_id bigint", "n_bytes bigint", "n_tokens bigint", "over_limit boolean"],
+    "op12": [
+        "doc_id bigint", "leaf string", "subroot string", "root string", "proof_sha256 string", "folded_root string",
+        "verified boolean",
+    ],
     "op10": ["doc_id bigint", "held_out boolean", "score double", "predicted int"],
 }
 
