@@ -6,10 +6,10 @@ from collections.abc import Callable
 from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_runs, chunk_dedup, decontaminate, language, merkle, near_dedup, nearest, packing, secret_scan
+from . import byte_runs, chunk_dedup, decontaminate, language, merkle, near_dedup, nearest, packing, periodic, secret_scan
 from . import suffix_dedup, token_codes, token_counts, toxicity
 from .common import id_crc, read
 
@@ -103,3 +103,35 @@ def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
     leaf = merkle.leaf_digest([claimed if c == "text" else F.col(c) for c in merkle.FIELDS])
     manifest = merkle.build(docs, carry={"claimed": leaf})
     return merkle.verify(manifest, "claimed").withColumnRenamed("id", "doc_id")
+
+
+def looped(id: Column, text: Column) -> Column:
+    """The tampered texts of ``op13_periodic_runs``: in one of ten, a tail of the words repeats its first ones."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n = F.size(words).cast("long")
+    h = F.crc32(id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    a = g % F.greatest(n, F.lit(1))
+    p = F.floor((n - a) / (g % 8 + 3)) + 1
+    tail = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(tail, " ")).otherwise(text)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs, keep=["doc_id"])
+    longest = F.array_sort(
+        "runs",
+        lambda x, y: F.when(x["length"] != y["length"], F.sign(y["length"] - x["length"]))
+        .when(x["start"] != y["start"], F.sign(x["start"] - y["start"])).otherwise(F.sign(x["period"] - y["period"])).cast("int"),
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.get(longest, F.lit(0))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )

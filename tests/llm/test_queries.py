@@ -24,6 +24,10 @@ COLUMNS = {
         "doc_id bigint", "leaf string", "subroot string", "root string", "proof_sha256 string", "folded_root string",
         "verified boolean",
     ],
+    "op13": [
+        "doc_id bigint", "n_runs bigint", "start bigint", "length bigint", "period bigint", "exponent_milli bigint",
+        "runs_sha256 string", "collapsed_sha256 string",
+    ],
     "op10": ["doc_id bigint", "held_out boolean", "score double", "predicted int"],
 }
 
