@@ -113,8 +113,11 @@ def looped(id: Column, text: Column) -> Column:
     g = F.floor(h / 10)
     a = g % F.greatest(n, F.lit(1))
     p = F.floor((n - a) / (g % 8 + 3)) + 1
-    tail = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(tail, " ")).otherwise(text)
+    # first words and repeated stretch as slices: a lambda would work the words out again for every word
+    first, stretch = F.slice(words, F.lit(1), a.cast("int")), F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    times = F.ceil((n - a) / p).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(stretch, times)), F.lit(1), (n - a).cast("int"))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.concat(first, tail), " ")).otherwise(text)
 
 
 @query
