@@ -1,69 +1,79 @@
 """Direct multi-horizon regression and the recursive forecast.
 
-The forecaster is one linear regression per step and component on the flattened, scaled window, trained
-over the samples of all symbols. Its inputs are scaled per symbol, so one model serves every series.
+The forecaster is one linear regression per step and component on the flattened, scaled window, trained over the samples
+of all symbols in one pass. Its inputs are scaled per symbol, so one model serves every series.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans import Layout, chunk_sql, ewm, per_chunk, stage
 from . import features as feat
 from . import indicators as ind
+from . import regression
+from .blocks import blocks_of_samples
 from .prepare import TARGETS
 
 
 @dataclass
 class Forecaster:
+    """``coefficients`` has a row for each input of the flattened window and a column for each output."""
+
     columns: list[str]
     window: int
     horizon: int
-    models: list[LinearRegressionModel] = field(default_factory=list)
+    coefficients: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+    intercepts: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def score(self, samples: DataFrame) -> DataFrame:
         """Add ``y_hat``: scaled predictions, ``horizon * 4`` values, step after step."""
-        scored = samples.withColumn("_features", array_to_vector(F.flatten("x")))
-        names = [f"_y{k}" for k in range(len(self.models))]
-        for name, model in zip(names, self.models):
-            scored = model.copy().setPredictionCol(name).transform(scored)
-        return scored.withColumn("y_hat", F.array(*names)).drop("_features", *names)
+        shared = samples.sparkSession.sparkContext.broadcast((self.coefficients, self.intercepts))
+
+        @F.pandas_udf("array<double>")
+        def predict(x: pd.Series) -> pd.Series:
+            coefficients, intercepts = shared.value
+            return pd.Series(list(np.stack(x.to_numpy()) @ coefficients + intercepts) if len(x) else [])
+
+        return samples.withColumn("y_hat", predict(F.flatten("x")))
+
+    def score_blocks(self, blocks: DataFrame) -> DataFrame:
+        """The samples of a store with ``y``, ``y_hat`` and ``close_now``, for ``prediction_rows``."""
+        model, close = (self.coefficients, self.intercepts), self.columns.index("close")
+        return regression.score_blocks(blocks, model, self.window, self.horizon, len(self.columns), len(TARGETS), close)
 
     def save(self, path: str) -> None:
-        for k, model in enumerate(self.models):
-            model.write().overwrite().save(os.path.join(path, str(k)))
+        """One row for each output, as Parquet."""
+        rows = [(k, float(b), list(map(float, self.coefficients[:, k]))) for k, b in enumerate(self.intercepts)]
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(rows, "output int, intercept double, coefficients array<double>").write.mode("overwrite").parquet(path)
 
     @classmethod
     def load(cls, path: str, columns: Sequence[str], window: int, horizon: int) -> Forecaster:
-        models = [
-            LinearRegressionModel.load(os.path.join(path, str(k)))
-            for k in range(horizon * len(TARGETS))
-        ]
-        return cls(list(columns), window, horizon, models)
+        rows = SparkSession.getActiveSession().read.parquet(path).orderBy("output").collect()
+        if len(rows) != horizon * len(TARGETS) or any(len(r.coefficients) != window * len(columns) for r in rows):
+            raise ValueError(f"the model in {path} was fitted for another window, horizon or other columns")
+        return cls(list(columns), window, horizon, np.array([r.coefficients for r in rows]).T, np.array([r.intercept for r in rows]))
+
+
+def fit_blocks(
+    blocks: DataFrame, columns: Sequence[str], window: int, horizon: int, regs: Sequence[float] = (0.01,)
+) -> list[Forecaster]:
+    """A forecaster for each regularisation, all from one pass over the samples of a store (see ``blocks``)."""
+    sums = regression.moments(blocks, window, horizon, len(columns), len(TARGETS))
+    return [Forecaster(list(columns), window, horizon, *sums.solve(reg)) for reg in regs]
 
 
 def fit_forecaster(
     train: DataFrame, columns: Sequence[str], window: int, horizon: int, reg: float = 0.01
 ) -> Forecaster:
-    """Fit on samples with ``x`` and ``y``. The training rows are staged, as every model reads them."""
-    outputs = horizon * len(TARGETS)
-    rows = stage(
-        train.select(F.flatten("x").alias("x"), *[F.col("y")[k].alias(f"y{k}") for k in range(outputs)]),
-        "train",
-    ).withColumn("_features", array_to_vector("x"))
-    models = [
-        LinearRegression(
-            featuresCol="_features", labelCol=f"y{k}", regParam=reg, standardization=False, solver="normal"
-        ).fit(rows)
-        for k in range(outputs)
-    ]
-    return Forecaster(list(columns), window, horizon, models)
+    """Fit on samples with ``x`` and ``y`` that are already written out; a store of blocks is the cheaper way."""
+    return fit_blocks(blocks_of_samples(train), columns, window, horizon, (reg,))[0]
 
 
 def best_model(metrics: DataFrame) -> DataFrame:
@@ -74,13 +84,6 @@ def best_model(metrics: DataFrame) -> DataFrame:
     )
 
 
-def validation_loss(scored: DataFrame) -> DataFrame:
-    """Mean squared error over all outputs of scored samples."""
-    return scored.select(
-        F.explode(F.zip_with("y", "y_hat", lambda a, b: (a - b) * (a - b))).alias("e")
-    ).agg(F.avg("e").alias("val_mse"))
-
-
 def fit_best(
     train: DataFrame,
     val: DataFrame,
@@ -89,27 +92,30 @@ def fit_best(
     horizon: int,
     regs: Sequence[float] = (0.0001, 0.01, 1.0),
 ) -> tuple[Forecaster, DataFrame]:
-    """Fit a small grid and keep the forecaster with the lowest validation loss."""
-    fitted = [fit_forecaster(train, columns, window, horizon, reg) for reg in regs]
-    losses = None
-    for k, model in enumerate(fitted):
-        loss = validation_loss(model.score(val)).select(F.lit(k).alias("model_id"), "val_mse")
-        losses = loss if losses is None else losses.unionByName(loss)
+    """Fit a small grid on the blocks of ``train`` and keep the forecaster with the lowest loss on those of ``val``.
+
+    One pass over each. Without validation samples the losses are NULL and the first regularisation is kept.
+    """
+    fitted = fit_blocks(train, columns, window, horizon, regs)
+    models = [(f.coefficients, f.intercepts) for f in fitted]
+    losses = regression.validation_losses(val, models, window, horizon, len(columns), len(TARGETS))
     losses = stage(losses, "losses")
-    return fitted[best_model(losses).first()["model_id"]], losses
+    best = best_model(losses).first()["model_id"]
+    return fitted[best or 0], losses
 
 
-def prediction_rows(scored: DataFrame, close_index: int) -> DataFrame:
+def prediction_rows(scored: DataFrame, close_index: int | None = None) -> DataFrame:
     """Scored samples to long form, still scaled; ``close_index`` is the place of close in ``x`` rows.
 
-    ``close_now`` is on the input scale, ``y_true`` and ``y_pred`` on the target scale.
+    ``close_now`` is on the input scale, ``y_true`` and ``y_pred`` on the target scale. Samples scored in blocks bring it.
     """
+    now = "close_now" if "close_now" in scored.columns else f"element_at(x, -1)[{close_index}]"
     pairs = scored.selectExpr(
         "symbol",
         "rn",
         "n",
         "sample_id",
-        f"element_at(x, -1)[{close_index}] as close_now",
+        f"{now} as close_now",
         "posexplode(arrays_zip(y, y_hat)) as (_k, _v)",
     )
     names = ", ".join(f"'{c}'" for c in TARGETS)

@@ -171,19 +171,26 @@ def _row(columns: Sequence[str]) -> str:
     return "array(" + ", ".join(f"`{c}`" for c in columns) + ")"
 
 
+def fraction_bounds(train: float = 0.7, val: float = 0.15) -> tuple[str, str]:
+    """SQL of the first validation and the first test sample: after ``int(train * samples)``, and ``int(val * samples)`` more."""
+    first = f"cast(samples * {float(train)!r}D as bigint)"
+    return first, f"{first} + cast(samples * {float(val)!r}D as bigint)"
+
+
+def ceil_bounds(held_out: float = 0.3, test: float = 0.5) -> tuple[str, str]:
+    """As ``fraction_bounds``, with ``ceil(held_out * samples)`` at the end, and ``ceil(test * held out)`` of those for the test."""
+    rest = f"ceil(samples * {float(held_out)!r}D)"
+    return f"samples - {rest}", f"samples - ceil({rest} * {float(test)!r}D)"
+
+
 def split_by_fraction(samples: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """First ``int(train * samples)``, next ``int(val * samples)``, rest test. No shuffle."""
-    first = f"cast(samples * {float(train)!r}D as bigint)"
-    second = f"{first} + cast(samples * {float(val)!r}D as bigint)"
-    return _split(samples, first, second)
+    return _split(samples, *fraction_bounds(train, val))
 
 
 def split_by_ceil(samples: DataFrame, held_out: float = 0.3, test: float = 0.5) -> DataFrame:
     """Hold out ``ceil(held_out * samples)`` at the end, then ``ceil(test * held out)`` of those."""
-    rest = f"ceil(samples * {float(held_out)!r}D)"
-    return _split(
-        samples, f"samples - {rest}", f"samples - ceil({rest} * {float(test)!r}D)"
-    )
+    return _split(samples, *ceil_bounds(held_out, test))
 
 
 def _split(samples: DataFrame, first: str, second: str) -> DataFrame:

@@ -21,6 +21,7 @@ from . import features as feat
 from . import forecast as fc
 from . import indicators as ind
 from . import prepare as pr
+from .blocks import of_split, sequence_blocks
 from .clean import drop_inf, drop_null, drop_warmup, keep_long_series
 
 
@@ -41,6 +42,10 @@ class StudyConfig:
             return list(self.columns)
         return list(feat.WILDER_FEATURES if self.smoothing == ind.WILDER else feat.MODEL_FEATURES)
 
+    @property
+    def bounds(self) -> tuple[str, str]:
+        return pr.fraction_bounds(self.train, self.val) if self.smoothing == ind.WILDER else pr.ceil_bounds(1 - self.train)
+
     @classmethod
     def simple(cls, **changes) -> StudyConfig:
         """The defaults of the simple dialect."""
@@ -51,7 +56,7 @@ class StudyConfig:
 class Study:
     config: StudyConfig
     rows: DataFrame
-    samples: DataFrame
+    blocks: DataFrame
     input_params: DataFrame
     target_params: DataFrame
     forecaster: fc.Forecaster
@@ -59,8 +64,8 @@ class Study:
 
     def predictions(self, split: str = "test") -> DataFrame:
         """Predictions of a split in price units."""
-        scored = self.forecaster.score(self.samples.filter(F.col("split") == split))
-        rows = fc.prediction_rows(scored, self.config.inputs.index("close"))
+        scored = self.forecaster.score_blocks(of_split(self.blocks, split, self.config.bounds))
+        rows = fc.prediction_rows(scored)
         return fc.unscale_predictions(rows, self.input_params, self.target_params, self.config.layout)
 
     def metrics(self) -> DataFrame:
@@ -110,7 +115,7 @@ def clean_features(bars: DataFrame, config: StudyConfig) -> DataFrame:
 def run_study(bars: DataFrame, config: StudyConfig = StudyConfig()) -> Study:
     """Fit and validate on ``symbol, ts, open..close, volume`` bars.
 
-    Symbols too short for a single sample are left out. The feature rows, ranges and samples are staged.
+    Symbols too short for a single sample are left out. The feature rows, ranges and blocks are staged.
     """
     w, h, layout = config.window, config.horizon, config.layout
     columns, targets = config.inputs, list(pr.TARGETS)
@@ -125,32 +130,33 @@ def run_study(bars: DataFrame, config: StudyConfig = StudyConfig()) -> Study:
         inputs, outputs = pr.fit_minmax(rows, columns), pr.fit_minmax(rows, targets)
     inputs, outputs = stage(inputs, "input-range"), stage(outputs, "target-range")
 
-    samples = scaled_samples(rows, inputs, outputs, columns, w, h, layout)
-    if config.smoothing == ind.WILDER:
-        samples = pr.split_by_fraction(samples, config.train, config.val)
-    else:
-        samples = pr.split_by_ceil(samples, 1 - config.train)
-    samples = stage(samples, "samples")
-    forecaster, losses = fc.fit_best(
-        samples.filter("split = 'train'"), samples.filter("split = 'val'"), columns, w, h, config.regs
-    )
-    return Study(config, rows, samples, inputs, outputs, forecaster, losses)
+    blocks = stage(scaled_blocks(rows, inputs, outputs, columns, w, h, layout), "blocks")
+    train, val = (of_split(blocks, split, config.bounds) for split in ("train", "val"))
+    forecaster, losses = fc.fit_best(train, val, columns, w, h, config.regs)
+    return Study(config, rows, blocks, inputs, outputs, forecaster, losses)
 
 
-def scaled_samples(
-    rows: DataFrame,
-    inputs: DataFrame,
-    outputs: DataFrame,
-    columns: Sequence[str],
-    window: int,
-    horizon: int,
-    layout: Layout,
-) -> DataFrame:
-    """Windows of inputs and targets, each on its own scale."""
-    names = [f"target_{c}" for c in pr.TARGETS]
+TARGET_NAMES = [f"target_{c}" for c in pr.TARGETS]
+
+
+def scaled_rows(rows: DataFrame, inputs: DataFrame, outputs: DataFrame, columns: Sequence[str], layout: Layout) -> DataFrame:
+    """Inputs and, as ``target_*``, targets, each on its own scale."""
     ranges = outputs.selectExpr(
         "symbol", "n", *[f"{c}_{m} as target_{c}_{m}" for c in pr.TARGETS for m in ("min", "max")]
     )
     scaled = rows.selectExpr("*", *[f"{c} as target_{c}" for c in pr.TARGETS])
-    scaled = pr.scale(pr.scale(scaled, inputs, columns, layout), ranges, names, layout)
-    return pr.sequences(scaled, columns, window, horizon, names, layout)
+    return pr.scale(pr.scale(scaled, inputs, columns, layout), ranges, TARGET_NAMES, layout)
+
+
+def scaled_blocks(
+    rows: DataFrame, inputs: DataFrame, outputs: DataFrame, columns: Sequence[str], window: int, horizon: int, layout: Layout
+) -> DataFrame:
+    """The store of samples that a study fits and scores on."""
+    return sequence_blocks(scaled_rows(rows, inputs, outputs, columns, layout), columns, window, horizon, TARGET_NAMES, layout)
+
+
+def scaled_samples(
+    rows: DataFrame, inputs: DataFrame, outputs: DataFrame, columns: Sequence[str], window: int, horizon: int, layout: Layout
+) -> DataFrame:
+    """The samples written out, one row each."""
+    return pr.sequences(scaled_rows(rows, inputs, outputs, columns, layout), columns, window, horizon, TARGET_NAMES, layout)

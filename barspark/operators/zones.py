@@ -34,6 +34,27 @@ class ZoneLevels:
 ZONE_TYPES = {"SUPPLY": 1, "DEMAND": 2}
 
 
+def rolling(rows: DataFrame, exprs: dict[str, tuple[str, str]], size: int) -> DataFrame:
+    """Add the ``max`` or ``min`` of each expression over the ``size`` rows before a row (``rows`` as from ``spread``).
+
+    Positions are cut into blocks of ``size``. Any ``size`` consecutive rows are the end of one block and the beginning
+    of the next, so that their extremum is that of two running ones, from the block's end backward and from its beginning
+    forward. The work for a row does not depend on ``size``. The chunk must hold the ``size`` rows before a home row.
+    """
+    block = rows.selectExpr("*", f"floor((rn - 1) / {size}) as _block")
+    running = []
+    for name, (fn, expr) in exprs.items():
+        for way, order in (("f", "rn"), ("b", "rn desc")):
+            frame = f"partition by symbol, _chunk, _block order by {order} rows between unbounded preceding and current row"
+            running.append(f"{fn}({expr}) over ({frame}) as _{way}{name}")
+    pick = {"max": "greatest", "min": "least"}
+    both = [
+        f"{pick[fn]}({over(f'lag(_f{name})')}, {over(f'lag(_b{name}, {size})')}) as {name}" for name, (fn, _) in exprs.items()
+    ]
+    kept = [f"`{c}`" for c in rows.columns]
+    return block.selectExpr(*kept, "_block", *running).selectExpr(*kept, *both)
+
+
 def _extremes(bars: DataFrame, layout: Layout, lookback: int) -> DataFrame:
     rows = spread(number_rows(bars, layout), layout, back=lookback + 2)
     before = {c: over(f"lag({c})") for c in ("open", "high", "low", "close")}
@@ -42,15 +63,13 @@ def _extremes(bars: DataFrame, layout: Layout, lookback: int) -> DataFrame:
         "'rn', rn, 'ts', ts, 'open', open, 'high', high, 'low', low, "
         "'p_open', _p_open, 'p_high', _p_high, 'p_low', _p_low, 'p_close', _p_close"
     )
-    frame = f"rows between {lookback} preceding and 1 preceding"
     # a close of 0 or less never beats the starting value of the search for the highest
-    highest = f"max(case when close > 0 then named_struct('close', close, {candle}) end)"
-    lowest = f"min(named_struct('close', close, 'age', -rn, {candle}))"
+    highest = f"case when close > 0 then named_struct('close', close, {candle}) end"
+    lowest = f"named_struct('close', close, 'age', -rn, {candle})"
+    rows = rolling(rows, {"_hi": ("max", highest), "_lo": ("min", lowest)}, lookback)
     # the lowest close needs a full look-back: an absent bar reads as price 0 and would win
     return rows.selectExpr(
-        "*",
-        f"{over(highest, frame)} as _hi",
-        f"case when rn > {lookback} then {over(lowest, frame)} end as _lo",
+        *[f"`{c}`" for c in rows.columns if c != "_lo"], f"case when rn > {lookback} then _lo end as _lo"
     )
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import forecast as fc
 from ..operators import indicators as ind
 from ..operators import prepare as pr
-from ..operators.study import Study, StudyConfig, run_study, scaled_samples
-from ..plans import Layout, number_rows, stage_path
+from ..operators.blocks import of_split
+from ..operators.study import Study, StudyConfig, run_study, scaled_blocks, scaled_samples
+from ..plans import Layout, number_rows, numbered_once, stage, stage_path
 from ..sources import sinks
 from ..sources.bars import to_bars
 from .base import HOURLY, bars_sql, hourly, query, rounded, show, stamp, ticks
@@ -55,6 +56,153 @@ def recursive_forecast(spark, sf):
     return show(_study(spark, sf).forecast(DAYS), ["symbol", "ts", "day"], PRICES, 4)
 
 
+def _wide_study(spark, sf, smoothing: str) -> Study:
+    """All inputs, window and horizon of the dialect's own size."""
+    inputs = {} if smoothing == ind.WILDER else {"window": 90, "horizon": 15}
+    config = StudyConfig(smoothing, layout=HOURLY, regs=(0.01, 1.0), **inputs)
+    return run_study(hourly(spark, sf), config)
+
+
+@query("fit_wide")
+def fit_wide(spark, sf):
+    """Held-out predictions of 15 steps from windows of 90 bars with all 35 columns."""
+    keys = ["symbol", "sample_id", "step", "component"]
+    return show(_wide_study(spark, sf, ind.WILDER).predictions(), keys, ["y_true", "y_pred", "close_now"], 4)
+
+
+@query("fit_wide_simple")
+def fit_wide_simple(spark, sf):
+    """Test metrics of 15 steps from windows of 90 bars with the 26 model columns."""
+    return show(_wide_study(spark, sf, ind.SIMPLE).metrics(), METRIC_KEYS, ["Nilai"], 4)
+
+
+# --- a model small enough for SQL to solve: the last two closes, two steps ahead -----------------
+
+SMALL, AHEAD, SMALL_REGS = 2, 2, (0.0001, 0.01, 1.0)
+_SMALL_N = f"(n - {SMALL} - {AHEAD} + 1)"
+_SMALL_TRAIN = f"cast(floor({_SMALL_N} * 0.7::double) as bigint)"
+
+
+def _small_range(name: str, rows: str) -> str:
+    parts = ", ".join(f"min({c}) as {c}_min, coalesce(nullif(max({c}) - min({c}), 0), 1) as {c}_width" for c in PRICES)
+    return f"{name} as (select symbol, {parts} from bars where {_SMALL_N} > 0 and {rows} group by symbol)"
+
+
+def _of(component: str, template: str) -> str:
+    return f"case {component} " + " ".join(f"when '{c}' then {template.format(c=c)}" for c in PRICES) + " end"
+
+
+_SMALL_CTES = (
+    _small_range("inputs", f"rn <= {_SMALL_TRAIN} + {SMALL}"),
+    _small_range("targets", f"rn > {SMALL} and rn <= {_SMALL_TRAIN} + {SMALL} + {AHEAD}"),
+    f"""small as (select a.symbol, a.rn - {SMALL} as sample_id, {_SMALL_N.replace('n -', 'a.n -')} as samples, step::int as step,
+    component, a.close as close_now, (p.close - i.close_min) / i.close_width as x0, (a.close - i.close_min) / i.close_width as x1,
+    {_of('component', 'b.{c}')} as price, {_of('component', 't.{c}_min')} as low, {_of('component', 't.{c}_width')} as width
+  from bars a join bars p on p.symbol = a.symbol and p.rn = a.rn - 1 join inputs i on i.symbol = a.symbol
+    join targets t on t.symbol = a.symbol, range(1, {AHEAD + 1}) s(step), (values ('open'), ('high'), ('low'), ('close')) c(component),
+    bars b where b.symbol = a.symbol and b.rn = a.rn + step and a.rn >= {SMALL} and a.rn + {AHEAD} <= a.n)""",
+    f"""sums as (select model_id, step, component, avg(x0) as m0, avg(x1) as m1, avg((price - low) / width) as my,
+    var_pop(x0) + reg / stddev_pop((price - low) / width) as a, covar_pop(x0, x1) as c,
+    var_pop(x1) + reg / stddev_pop((price - low) / width) as d,
+    covar_pop(x0, (price - low) / width) as e, covar_pop(x1, (price - low) / width) as f
+  from small, (values {', '.join(f'({k}, {r}::double)' for k, r in enumerate(SMALL_REGS))}) r(model_id, reg)
+  where sample_id < floor(samples * 0.7::double) group by 1, 2, 3, reg)""",
+    """solved as (select model_id, step, component, (e * d - c * f) / (a * d - c * c) as b0, (a * f - c * e) / (a * d - c * c) as b1,
+    my - (e * d - c * f) / (a * d - c * c) * m0 - (a * f - c * e) / (a * d - c * c) * m1 as b from sums)""",
+    """losses as (select model_id, avg((b + b0 * x0 + b1 * x1 - (price - low) / width) ** 2) as val_mse
+  from small join solved using (step, component) where sample_id >= floor(samples * 0.7::double)
+    and sample_id < floor(samples * 0.7::double) + floor(samples * 0.15::double) group by 1)""",
+    """best as (select solved.* from solved where model_id = (select arg_min(model_id, (val_mse, model_id)) from losses))""",
+)
+
+
+def _small_parts(spark, sf):
+    rows = numbered_once(hourly(spark, sf), HOURLY)
+    inputs = stage(pr.fit_minmax_train(rows, PRICES, SMALL, AHEAD), "input-range")
+    outputs = stage(pr.fit_minmax_train(rows, PRICES, SMALL, AHEAD, of="targets"), "target-range")
+    blocks = stage(scaled_blocks(rows, inputs, outputs, ["close"], SMALL, AHEAD, HOURLY), "blocks")
+    return rows, inputs, outputs, blocks
+
+
+def _small_best(blocks):
+    train, val = (of_split(blocks, split) for split in ("train", "val"))
+    return fc.fit_best(train, val, ["close"], SMALL, AHEAD, SMALL_REGS)
+
+
+@query(
+    "fit_small",
+    bars_sql(
+        f"select model_id, step, component, {rounded('b', 'b0', 'b1')} from solved", *_SMALL_CTES
+    ),
+)
+def fit_small(spark, sf):
+    """The coefficients of every regularisation."""
+    blocks = _small_parts(spark, sf)[3]
+    fitted = fc.fit_blocks(of_split(blocks, "train"), ["close"], SMALL, AHEAD, SMALL_REGS)
+    rows = [
+        (m, k // len(PRICES) + 1, PRICES[k % len(PRICES)], float(f.intercepts[k]), *map(float, f.coefficients[:, k]))
+        for m, f in enumerate(fitted)
+        for k in range(AHEAD * len(PRICES))
+    ]
+    found = spark.createDataFrame(rows, "model_id int, step int, component string, b double, b0 double, b1 double")
+    return show(found, ["model_id", "step", "component"], ["b", "b0", "b1"])
+
+
+@query("fit_small_losses", bars_sql(f"select model_id, {rounded('val_mse')} from losses", *_SMALL_CTES))
+def fit_small_losses(spark, sf):
+    """Validation loss per regularisation."""
+    return show(_small_best(_small_parts(spark, sf)[3])[1], ["model_id"], ["val_mse"])
+
+
+@query(
+    "fit_small_score",
+    bars_sql(
+        f"""select symbol, sample_id, step, component, {rounded('y_true', 'y_pred', 'close_now', digits=4)} from (
+  select symbol, sample_id, step, component, price as y_true, (b + b0 * x0 + b1 * x1) * width + low as y_pred, close_now
+  from small join best using (step, component)
+  where sample_id >= floor(samples * 0.7::double) + floor(samples * 0.15::double))""",
+        *_SMALL_CTES,
+    ),
+)
+def fit_small_score(spark, sf):
+    """Held-out predictions in price units, by the model of the lowest loss."""
+    _, inputs, outputs, blocks = _small_parts(spark, sf)
+    scored = _small_best(blocks)[0].score_blocks(of_split(blocks, "test"))
+    predictions = fc.unscale_predictions(fc.prediction_rows(scored), inputs, outputs, HOURLY)
+    return show(predictions, ["symbol", "sample_id", "step", "component"], ["y_true", "y_pred", "close_now"], 4)
+
+
+def _next_close(step: int) -> str:
+    return (
+        f"(select b + b0 * ((r.before - i.close_min) / i.close_width) + b1 * ((r.last - i.close_min) / i.close_width)"
+        f" from best where step = {step} and component = 'close') * t.close_width + t.close_min"
+    )
+
+
+@query(
+    "fit_small_forecast",
+    bars_sql(
+        f"""select symbol, strftime(ts + to_days(day::int), '%Y-%m-%d %H:%M:%S') as ts, day, {rounded(*PRICES, digits=4)} from (
+  select r.symbol, r.ts, round * {AHEAD} + step as day, {', '.join(
+      f"max((b + b0 * ((r.before - i.close_min) / i.close_width) + b1 * ((r.last - i.close_min) / i.close_width))"
+      f" * t.{c}_width + t.{c}_min) filter (component = '{c}') as {c}" for c in PRICES)}
+  from rounds r join inputs i on i.symbol = r.symbol join targets t on t.symbol = r.symbol, best group by 1, 2, 3) where day <= {DAYS}""",
+        *_SMALL_CTES,
+        f"""rounds as (
+  select a.symbol, 0 as round, a.ts, a.close as last, b.close as before
+  from bars a join bars b on b.symbol = a.symbol and b.rn = a.n - 1 where a.rn = a.n
+  union all select r.symbol, r.round + 1, r.ts, {_next_close(2)}, {_next_close(1)}
+  from rounds r join inputs i on i.symbol = r.symbol join targets t on t.symbol = r.symbol where r.round < 2)""",
+    ),
+)
+def fit_small_forecast(spark, sf):
+    """The recursive forecast by the model of the lowest loss."""
+    rows, inputs, outputs, blocks = _small_parts(spark, sf)
+    bars = rows.select("symbol", "ts", *PRICES, "volume")
+    found = fc.forecast(bars, _small_best(blocks)[0], inputs, outputs, DAYS, layout=HOURLY)
+    return show(found, ["symbol", "ts", "day"], PRICES, 4)
+
+
 #: Coefficients with enough digits that no rounded result is a tie.
 LAST, BEFORE, STEP = 0.731043, 0.268957, 0.013717
 

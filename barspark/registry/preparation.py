@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..operators import prepare as pr
-from ..plans import number_rows, numbered_once
+from ..operators.blocks import of_split, samples_of, sequence_blocks
+from ..plans import number_rows, numbered_once, stage
 from .base import HOURLY, bars_sql, hourly, query, rounded, show, stamp
 
 WINDOW, HORIZON = 10, 5
@@ -132,6 +133,33 @@ def sample_rows(spark, sf):
     return show(rows, ["symbol", "sample_id", "samples"], ["x_sum", "y_sum"], 4)
 
 
+@query(
+    "sequence_blocks",
+    bars_sql(
+        f"""select a.symbol, a.rn as rn, a.rn - {WINDOW} as sample_id,
+  case when a.rn - {WINDOW} < floor((a.n - {WINDOW} - {HORIZON} + 1) * 0.7::double) then 'train'
+    when a.rn - {WINDOW} < floor((a.n - {WINDOW} - {HORIZON} + 1) * 0.7::double)
+      + floor((a.n - {WINDOW} - {HORIZON} + 1) * 0.15::double) then 'val' else 'test' end as split,
+  round(sum(b.close * (b.rn - a.rn + {WINDOW})) filter (b.rn <= a.rn), 4) + 0.0 as x_sum,
+  round(sum(b.low * (b.rn - a.rn)) filter (b.rn > a.rn), 4) + 0.0 as y_sum
+from bars a join bars b on b.symbol = a.symbol and b.rn between a.rn - {WINDOW - 1} and a.rn + {HORIZON}
+where a.rn >= {WINDOW} and a.rn + {HORIZON} <= a.n group by 1, 2, 3, 4"""
+    ),
+)
+def block_samples(spark, sf):
+    """The samples of every split, read back from the store of blocks."""
+    columns = ["close", "volume"]
+    blocks = stage(sequence_blocks(numbered(spark, sf), columns, WINDOW, HORIZON, layout=HOURLY), "blocks")
+    x = "aggregate(transform(x, (r, i) -> r[0] * (i + 1)), 0D, (a, b) -> a + b)"
+    y = "aggregate(transform(y, (v, i) -> case when i % 4 = 2 then v * (i div 4 + 1) else 0D end), 0D, (a, b) -> a + b)"
+    rows = None
+    for split in pr.SPLITS:
+        own = samples_of(of_split(blocks, split), WINDOW, HORIZON, len(columns)).selectExpr("*", f"'{split}' as split")
+        rows = own if rows is None else rows.unionByName(own)
+    rows = rows.selectExpr("symbol", "rn", "sample_id", "split", f"{x} as x_sum", f"{y} as y_sum")
+    return show(rows, ["symbol", "rn", "sample_id", "split"], ["x_sum", "y_sum"], 4)
+
+
 _SAMPLES = f"""samples as (select symbol, rn - {WINDOW} as sample_id, n - {WINDOW} - {HORIZON} + 1 as samples
   from bars where rn >= {WINDOW} and rn + {HORIZON} <= n)"""
 _FRACTION = """case when sample_id < floor(samples * 0.7::double) then 'train'

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import orders, trailing, zones
+from ..operators import order_state, orders, trailing, zones
 from ..plans import numbered_once
 from ..sources import sinks
-from .base import HOURLY, bars_sql, hourly, query, quotes, rounded, show, stamp, table
+from .base import HOURLY, bars_sql, hourly, query, quotes, rounded, show, stamp, table, ticks
 from .sources import POSITIONS_SQL, positions, symbols
 
 LOOKBACK = 100
@@ -246,6 +246,82 @@ def buy_intents(spark, sf):
     return _show_intents(intents(spark, sf).filter("side = 'BUY_LIMIT'"))
 
 
+def broker_status(spark, sf):
+    """Answers worked out from the ticks: some orders of an hour are rejected, some checks find an order gone."""
+    cases = "explode(array_compact(array({}))) as _e".format(
+        ", ".join(
+            f"case when tick_id % {by} = {at} then named_struct('type', '{kind}', 'event', '{event}') end"
+            for by, at, kind, event in ((7, 0, "SUPPLY", "REJECTED"), (7, 1, "DEMAND", "REJECTED"), (11, 0, "SUPPLY", "GONE"), (11, 1, "DEMAND", "GONE"))
+        )
+    )
+    rows = ticks(spark, sf).selectExpr("symbol", "ts", cases)
+    return rows.selectExpr("symbol", "case when _e.event = 'REJECTED' then date_trunc('hour', ts) else ts end as ts", "_e.*")
+
+
+# bar by bar with all state: the zones (s_, d_), what is valid and used, and the tickets
+_STATE_WALK = """marks as (
+  select b.symbol, b.rn, coalesce(bool_or(t.tick_id % 7 = 0), false) as s_rejected, coalesce(bool_or(t.tick_id % 7 = 1), false) as d_rejected
+  from bars b left join ticks t on t.symbol = b.symbol and date_trunc('hour', t.ts) = b.ts group by 1, 2),
+checks as (
+  select b.symbol, b.rn, coalesce(bool_or(t.tick_id % 11 = 0), false) as s_gone, coalesce(bool_or(t.tick_id % 11 = 1), false) as d_gone
+  from bars b left join bars p on p.symbol = b.symbol and p.rn = b.rn - 1
+  left join ticks t on t.symbol = b.symbol and t.ts <= b.ts and (p.ts is null or t.ts > p.ts) group by 1, 2),
+seen as (
+  select b.symbol, b.rn, b.ts, b.open as bid, b.open * 1.0002::double as ask, s_rejected, d_rejected, s_gone, d_gone,
+    s.entry as s_entry, s.sl as s_sl, s.tp as s_tp, d.entry as d_entry, d.sl as d_sl, d.tp as d_tp
+  from bars b join marks using (symbol, rn) join checks using (symbol, rn)
+  left join supply s on s.symbol = b.symbol and s.rn = b.rn left join demand d on d.symbol = b.symbol and d.rn = b.rn),
+book as (
+  select symbol, 0::bigint as rn, null::timestamp as ts, null::double as bid, null::double as ask,
+    null::double as s_e, null::double as s_l, null::double as s_p, null::double as d_e, null::double as d_l, null::double as d_p,
+    false as s_open, false as s_ticket, false as d_open, false as d_ticket, false as s_reset, false as d_reset,
+    null::double as s_lost, null::double as d_lost, null::varchar as s_action, null::varchar as d_action
+  from (select distinct symbol from bars)
+  union all
+  select symbol, rn, ts, bid, ask, s_e, s_l, s_p, d_e, d_l, d_p,
+    s_open1 and coalesce(s_action, '') not in ('SKIP', 'PLACE'), s_ticket1 or coalesce(s_action = 'PLACE', false),
+    d_open1 and coalesce(d_action, '') not in ('SKIP', 'PLACE'), d_ticket1 or coalesce(d_action = 'PLACE', false),
+    s_reset, d_reset, s_lost, d_lost, s_action, d_action
+  from (select *, case when not d_open1 or coalesce(s_action = 'SKIP', false) then null when bid > d_e then 'SKIP'
+      when d_rejected then 'REJECT' else 'PLACE' end as d_action
+  from (select *, case when not s_open1 then null when ask < s_e then 'SKIP' when s_rejected then 'REJECT' else 'PLACE' end as s_action
+  from (select e.*, w.s_ticket and e.s_gone as s_reset, w.d_ticket and e.d_gone as d_reset, w.s_e as s_lost, w.d_e as d_lost,
+      w.s_ticket and not e.s_gone as s_ticket1, w.d_ticket and not e.d_gone as d_ticket1,
+      e.s_entry is not null or (w.s_open and not (w.s_ticket and e.s_gone)) as s_open1,
+      e.d_entry is not null or (w.d_open and not (w.d_ticket and e.d_gone)) as d_open1,
+      coalesce(e.s_entry, w.s_e) as s_e, case when e.s_entry is not null then e.s_sl else w.s_l end as s_l,
+      case when e.s_entry is not null then e.s_tp else w.s_p end as s_p,
+      coalesce(e.d_entry, w.d_e) as d_e, case when e.d_entry is not null then e.d_sl else w.d_l end as d_l,
+      case when e.d_entry is not null then e.d_tp else w.d_p end as d_p
+    from book w join seen e on e.symbol = w.symbol and e.rn = w.rn + 1)))),
+order_log as (
+  select symbol, ts, 'SUPPLY' as type, s_action as action, s_e as entry, s_l as sl, s_p as tp from book where s_action is not null
+  union all select symbol, ts, 'DEMAND', d_action, d_e, d_l, d_p from book where d_action is not null
+  union all select symbol, ts, 'SUPPLY', 'RESET', s_lost, null, null from book where s_reset
+  union all select symbol, ts, 'DEMAND', 'RESET', d_lost, null, null from book where d_reset)"""
+
+
+@query(
+    "order_events",
+    bars_sql(
+        f"""select symbol, {stamp()}, type, action, {rounded('entry')},
+  case when action <> 'RESET' then round(sl, 6) + 0.0 end as sl, case when action <> 'RESET' then round(tp, 6) + 0.0 end as tp,
+  case when action <> 'RESET' then round({lot_sql('entry', 'sl')}, 4) + 0.0 end as lot from order_log""",
+        *zones_sql(0.9),
+        _STATE_WALK,
+    ),
+)
+def order_log(spark, sf):
+    """Every attempt and reset, with rejected orders and orders that are gone."""
+    found = detected(spark, sf, APART)
+    rows = order_state.order_events(found, symbols(spark, sf), f"{BALANCE!r}D", broker_status(spark, sf), layout=HOURLY)
+    kept = [f"case when action <> 'RESET' then round({c}, 6) + 0D end as {c}" for c in ("sl", "tp")]
+    return rows.selectExpr(
+        "symbol", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') as ts", "type", "action", "round(entry, 6) + 0D as entry", *kept,
+        "round(lot, 4) + 0D as lot",
+    )
+
+
 def tracked(spark, sf):
     return table(spark, sf, "orders").selectExpr(
         "o_orderkey as ticket",

@@ -4,7 +4,7 @@ import pytest
 from conftest import ordered, random_bars, series
 
 from barspark.operators import orders, trailing, zones
-from barspark.plans import Layout
+from barspark.plans import Layout, number_rows, settle, spread
 from barspark.sources.quotes import quotes_at
 
 SMALL = Layout("H1", bucket_slots=40, chunk_rows=128, fanout=2)
@@ -237,3 +237,21 @@ def test_clock_nodes_have_bounded_children(spark):
     for level in range(1, trailing.ROOT):
         most = trailing._nodes(quotes, seconds, level).selectExpr("max(size(_children)) as n").first().n
         assert most <= 1000
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 30])
+def test_rolling_extremes_equal_a_look_at_every_row(spark, size):
+    pdf = random_bars(150, seed=size)
+    pdf["close"] = (pdf.close * 2).round() / 2  # ties
+    pdf.loc[[20, 21, 90], "close"] = [-1.0, 0.0, None]
+    layout = Layout("H1", bucket_slots=40, chunk_rows=32, fanout=2)
+    rows = spread(number_rows(spark.createDataFrame(pdf), layout), layout, back=size)
+    found = zones.rolling(rows, {"hi": ("max", "case when close > 0 then struct(close, rn) end"), "lo": ("min", "struct(close, -rn as rn)")}, size)
+    got = ordered(settle(found))
+    closes = [None if np.isnan(c) else c for c in pdf.close]
+    for i, r in enumerate(got.itertuples()):
+        own = [(c, k + 1) for k, c in enumerate(closes[:i])][-size:]
+        high = max([(c, k) for c, k in own if c is not None and c > 0], default=None)
+        low = min([(c is not None, c or 0, -k) for c, k in own], default=None)
+        assert (None if r.hi is None else tuple(r.hi)) == high
+        assert (None if r.lo is None else r.lo[1]) == (None if low is None else low[2])
