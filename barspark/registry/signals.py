@@ -259,7 +259,7 @@ def broker_status(spark, sf):
 
 
 # bar by bar with all state: the zones (s_, d_), what is valid and used, and the tickets
-_STATE_WALK = """marks as (
+STATE_WALK = """marks as (
   select b.symbol, b.rn, coalesce(bool_or(t.tick_id % 7 = 0), false) as s_rejected, coalesce(bool_or(t.tick_id % 7 = 1), false) as d_rejected
   from bars b left join ticks t on t.symbol = b.symbol and date_trunc('hour', t.ts) = b.ts group by 1, 2),
 checks as (
@@ -301,20 +301,13 @@ order_log as (
   union all select symbol, ts, 'DEMAND', 'RESET', d_lost, null, null from book where d_reset)"""
 
 
-@query(
-    "order_events",
-    bars_sql(
-        f"""select symbol, {stamp()}, type, action, {rounded('entry')},
+def order_log_sql(log: str) -> str:
+    return f"""select symbol, {stamp()}, type, action, {rounded('entry')},
   case when action <> 'RESET' then round(sl, 6) + 0.0 end as sl, case when action <> 'RESET' then round(tp, 6) + 0.0 end as tp,
-  case when action <> 'RESET' then round({lot_sql('entry', 'sl')}, 4) + 0.0 end as lot from order_log""",
-        *zones_sql(0.9),
-        _STATE_WALK,
-    ),
-)
-def order_log(spark, sf):
-    """Every attempt and reset, with rejected orders and orders that are gone."""
-    found = detected(spark, sf, APART)
-    rows = order_state.order_events(found, symbols(spark, sf), f"{BALANCE!r}D", broker_status(spark, sf), layout=HOURLY)
+  case when action <> 'RESET' then round({lot_sql('entry', 'sl')}, 4) + 0.0 end as lot from {log}"""
+
+
+def show_order_log(rows):
     kept = [f"case when action <> 'RESET' then round({c}, 6) + 0D end as {c}" for c in ("sl", "tp")]
     return rows.selectExpr(
         "symbol", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') as ts", "type", "action", "round(entry, 6) + 0D as entry", *kept,
@@ -322,6 +315,14 @@ def order_log(spark, sf):
     )
 
 
+@query("order_events", bars_sql(order_log_sql("order_log"), *zones_sql(0.9), STATE_WALK))
+def order_log(spark, sf):
+    """Every attempt and reset, with rejected orders and orders that are gone."""
+    found = detected(spark, sf, APART)
+    rows = order_state.order_events(found, symbols(spark, sf), f"{BALANCE!r}D", broker_status(spark, sf), layout=HOURLY)
+    return show_order_log(rows)
+
+
 def tracked(spark, sf):
     return table(spark, sf, "orders").selectExpr(
         "o_orderkey as ticket",
