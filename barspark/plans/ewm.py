@@ -44,32 +44,35 @@ def ewm(
             raise ValueError(f"{out}: alpha {alpha} needs chunk_rows <= {most}")
 
     inputs = sorted({c for c, _ in specs.values()})
-    seen = df.selectExpr(
-        "*",
-        *[
-            part
-            for c in inputs
-            for part in (
-                f"rn - {earlier(f'max(case when {c} is not null then rn end)')} as _gap_{c}",
-                f"{so_far(f'min(case when {c} is not null then rn end)')} as _r_{c}",
-                f"{so_far(f'first({c}, true)')} as _x_{c}",
-            )
-        ],
-    )
-    scaled = seen.selectExpr(
-        "*", *[f"exp(coalesce({so_far(_log_factor_sum(c, a))}, 0D)) as _a_{o}" for o, (c, a) in specs.items()]
-    )
-    summed = scaled.selectExpr(
-        "*", *[f"coalesce({so_far(_shift_sum(o, c, a))}, 0D) as _s_{o}" for o, (c, a) in specs.items()]
-    )
+
+    def scanned(df: DataFrame) -> DataFrame:
+        seen = df.selectExpr(
+            "*",
+            *[
+                part
+                for c in inputs
+                for part in (
+                    f"rn - {earlier(f'max(case when {c} is not null then rn end)')} as _gap_{c}",
+                    f"{so_far(f'min(case when {c} is not null then rn end)')} as _r_{c}",
+                    f"{so_far(f'first({c}, true)')} as _x_{c}",
+                )
+            ],
+        )
+        scaled = seen.selectExpr(
+            "*", *[f"exp(coalesce({so_far(_log_factor_sum(c, a))}, 0D)) as _a_{o}" for o, (c, a) in specs.items()]
+        )
+        return scaled.selectExpr(
+            "*", *[f"coalesce({so_far(_shift_sum(o, c, a))}, 0D) as _s_{o}" for o, (c, a) in specs.items()]
+        )
+
+    summed = scanned(df)
     if not carry:
         return summed.selectExpr(
             *[f"`{c}`" for c in df.columns],
             *[f"case when _r_{c} is not null then _a_{o} * (_x_{c} + _s_{o}) end as {o}" for o, (c, _) in specs.items()],
         )
-    # written once: the chunk ends and the result would each run all windows below again
-    summed = stage(summed, "scan")
-    ends = summed.filter(chunk_end_sql(layout)).selectExpr(
+    # the chunk ends need the inputs alone; nothing but their summaries is written
+    ends = scanned(df.select("symbol", "_chunk", "rn", "n", *inputs)).filter(chunk_end_sql(layout)).selectExpr(
         "symbol",
         "_chunk",
         *[

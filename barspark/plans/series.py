@@ -20,10 +20,22 @@ def number_rows(df: DataFrame, layout: Layout = Layout(), tie: tuple[str, ...] =
     """
     if {"rn", "n"} <= set(df.columns):
         return df
+    return _shifted(df, _placed(df, layout, tie))
+
+
+def _placed(df: DataFrame, layout: Layout, tie: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with ``_bucket`` and ``_place``, their position in it."""
     bucketed = df.selectExpr(
         "*", f"floor(unix_timestamp(ts) / {layout.bucket_seconds}) as _bucket"
     )
-    counts = bucketed.groupBy("symbol", "_bucket").agg(F.count(F.lit(1)).alias("rows"))
+    order = ", ".join(("ts", *tie))
+    return bucketed.selectExpr(
+        "*", f"row_number() over (partition by symbol, _bucket order by {order}) as _place"
+    )
+
+
+def _shifted(df: DataFrame, placed: DataFrame) -> DataFrame:
+    counts = placed.groupBy("symbol", "_bucket").agg(F.count(F.lit(1)).alias("rows"))
     offsets = counts.selectExpr(
         "symbol",
         "_bucket",
@@ -31,20 +43,19 @@ def number_rows(df: DataFrame, layout: Layout = Layout(), tie: tuple[str, ...] =
         "rows between unbounded preceding and 1 preceding), 0) as rows_before",
         "sum(rows) over (partition by symbol) as rows_all",
     )
-    order = ", ".join(("ts", *tie))
-    placed = bucketed.selectExpr(
-        "*", f"row_number() over (partition by symbol, _bucket order by {order}) as _place"
-    )
     return placed.join(offsets, ["symbol", "_bucket"]).selectExpr(
         *[f"`{c}`" for c in df.columns], "rows_before + _place as rn", "rows_all as n"
     )
 
 
 def numbered_once(df: DataFrame, layout: Layout = Layout()) -> DataFrame:
-    """``number_rows`` written to a stage table, for plans that read the series several times."""
+    """``number_rows`` for plans that read the series several times: the rows and their places are written once.
+
+    The bucket counts are read off that table, so that ``df`` is worked out once and not for rows and counts.
+    """
     if {"rn", "n"} <= set(df.columns):
         return df
-    return stage(number_rows(df, layout), "series")
+    return _shifted(df, stage(_placed(df, layout), "series"))
 
 
 def chunk_sql(layout: Layout, rn: str = "rn") -> str:
