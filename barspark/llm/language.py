@@ -8,7 +8,8 @@ letters the score.
 
 The fit takes whole texts of at most about ``sample`` documents of each language, chosen by a hash of the id: that is
 its documented bound. Counts are summed by Spark and only the table of n-gram buckets comes to the driver, at most
-``BUCKETS`` entries for each of at most ``LANGUAGES`` languages.
+``BUCKETS`` entries for each language. A model holds 0.26 MB for a language; with more than ``LANGUAGES`` of them fewer
+texts are scored at a time.
 
 Null texts and texts without a letter are ``und`` with score 0. Without any labelled row all texts are. Ties go to the
 language that sorts first. Every input row gives one output row.
@@ -87,6 +88,7 @@ class Words:
         symbols = np.zeros(int(self.at[-1]) + 1, np.uint64)  # a border first, too
         keep = np.repeat(np.arange(n), self.lengths)
         symbols[1 + np.arange(len(keep)) + keep] = codes_lower[letter]
+        self.symbols = symbols
         self.buckets = []
         value = np.zeros(len(symbols), np.uint64)
         for k in range(LONGEST):
@@ -102,11 +104,25 @@ class Words:
         """Sums of ``table`` rows (one for each bucket, and a last one of zeros) over the n-grams of each word."""
         if not len(self.starts):
             return np.zeros((0, table.shape[1]), np.float32)
-        total = np.zeros((len(self.buckets[0]), table.shape[1]), np.float32)
+        # a word's n-grams begin at the border before it or at one of its letters; equal words have equal sums
+        first, word = self._distinct()
+        sizes = self.lengths[first] + 1
+        begins = np.cumsum(sizes) - sizes
+        positions = np.arange(int(sizes.sum())) + np.repeat(self.at[first] - begins, sizes)
+        total = np.zeros((len(positions), table.shape[1]), np.float32)
         for own in self.buckets:
-            total[: len(own)] += table[own]
-        # a word's n-grams begin at the border before it or at one of its letters
-        return np.add.reduceat(total, self.at[:-1], axis=0)
+            total += table[np.where(positions < len(own), own[np.minimum(positions, len(own) - 1)], -1)]
+        return np.add.reduceat(total, begins, axis=0)[word]
+
+    def _distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """A place of each distinct word, and the number of each word among them; words are told apart by 64-bit hashes."""
+        sizes = self.lengths + 1
+        place = np.arange(int(self.at[-1])) - np.repeat(self.at[:-1], sizes)
+        powers = np.ones(int(place.max()) + 1, np.uint64)
+        np.multiply.accumulate(np.full(len(powers) - 1, GOLD | np.uint64(1), np.uint64), out=powers[1:])
+        keys = np.add.reduceat(mix(self.symbols[: len(place)] + np.uint64(1)) * powers[place], self.at[:-1])
+        _, first, word = np.unique(keys, return_index=True, return_inverse=True)
+        return first, word
 
 
 def viterbi(scores: np.ndarray, text: np.ndarray, texts: int, penalty: float) -> np.ndarray:
@@ -164,13 +180,13 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     rows = docs.select(
         F.col(f"`{id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("l")
     ).where("l is not null and t is not null")
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").limit(LANGUAGES + 1).collect()}
+    per_language = rows.groupBy("l").agg(F.count("*").alias("n"))
+    sizes = {r.l: r.n for r in per_language.collect()}
     if not sizes:
         return None
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     unit = (F.abs(F.xxhash64("i", F.lit(11)) % 1_000_000) + 0.5) / 1_000_000
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample / n)]), F.col("l"))
+    share = per_language.select("l", (F.lit(sample) / F.col("n")).alias("share"))
+    rows = rows.join(share, "l").where(unit < F.col("share"))
     wide = BUCKETS + len(SCRIPTS)
 
     def run(batch: pa.RecordBatch):
@@ -187,12 +203,14 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
             used = np.flatnonzero(total)
             yield {"l": [name] * len(used), "k": pa.array(used), "n": pa.array(total[used])}
 
-    counts = map_arrow(rows.where(unit < share).select("t", "l"), run, "l string, k bigint, n bigint")
+    counts = map_arrow(rows.select("t", "l"), run, "l string, k bigint, n bigint")
     found = {name: np.zeros(wide, np.int64) for name in sizes}
     table = counts.groupBy("l", "k").agg(F.sum("n").alias("n")).toArrow()
-    names, keys, ns = table["l"].to_pylist(), table["k"].to_pylist(), table["n"].to_pylist()
-    for name, k, n in zip(names, keys, ns):
-        found[name][k] = n
+    codes = table["l"].combine_chunks().dictionary_encode() if table.num_rows else None
+    keys, ns = table["k"].to_numpy(), table["n"].to_numpy()
+    for code, name in enumerate(codes.dictionary.to_pylist() if codes is not None else ()):
+        own = codes.indices.to_numpy() == code
+        found[name][keys[own]] = ns[own]
     return Model({k: v for k, v in found.items() if v.any()}) if any(v.any() for v in found.values()) else None
 
 
@@ -213,7 +231,8 @@ def identify(
         texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
         preds, scores, found = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
         own: Model | None = shared.value
-        for a, b in text_slices(texts, SLICE) if own is not None else ():
+        size = SLICE * LANGUAGES // max(LANGUAGES, len(own.names)) if own is not None else 0
+        for a, b in text_slices(texts, size) if own is not None else ():
             words = Words(texts[a:b])
             if not len(words.starts):
                 continue

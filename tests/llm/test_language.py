@@ -61,3 +61,29 @@ def test_viterbi_finds_the_best_path():
                 best, path = value, states
         assert got[begin : begin + n].tolist() == list(path)
         begin += n
+
+
+def test_word_scores_are_sums_over_their_n_grams(model):
+    """Against the sums over all positions of the texts, repeated words included."""
+    text = "kato Kato минусаре x kato-szcz kak " + sample("aa", 20, 5)
+    words = G.Words([text, "", "kato"])
+    got = words.scores(model.table)
+    own = [text[a:b].lower() for a, b in zip(words.starts, words.ends) if b <= len(text)] + ["kato"]
+    assert len(own) == len(got)
+    same = [row for word, row in zip(own, got) if word == "kato"]
+    assert len(same) == 4 and all((row == same[0]).all() for row in same)
+    plain = np.add.reduceat(
+        sum(np.pad(model.table[b], ((0, len(words.buckets[0]) - len(b)), (0, 0))) for b in words.buckets)[: words.at[-1]], words.at[:-1], axis=0
+    )
+    np.testing.assert_allclose(got, plain, rtol=1e-5, atol=1e-5)
+
+
+def test_more_languages_than_are_scored_at_once(make):
+    rng = random.Random(8)
+    letters = [chr(c) for c in range(0x3B1, 0x3C9)] + list("abcdefghijklmnopqrstuvwxyz")
+    stems = {f"l{k:03d}": ["".join(rng.choices(letters, k=3)) for _ in range(5)] for k in range(300)}
+    texts = {k: " ".join("".join(rng.choices(v, k=2)) for _ in range(40)) for k, v in stems.items()}
+    model = G.fit(make([(i, t, k) for i, (k, t) in enumerate(texts.items())]))
+    assert len(model.names) == 300
+    got = G.identify(make([(i, t, k) for i, (k, t) in enumerate(texts.items())]), model, spans=False).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 295
