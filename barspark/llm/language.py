@@ -126,31 +126,29 @@ class Words:
 
 
 def viterbi(scores: np.ndarray, text: np.ndarray, texts: int, penalty: float) -> np.ndarray:
-    """The best state of each word; ``text`` numbers the words' texts in order. Texts of like length run in lockstep."""
+    """The best state of each word; ``text`` numbers the words' texts in order. All texts run in lockstep, the longest first,
+    and leave when they end.
+    """
     states, out = scores.shape[1], np.zeros(len(scores), np.int64)
     counts = np.bincount(text, minlength=texts)
-    firsts = np.cumsum(counts) - counts
-    level = np.ceil(np.log2(np.maximum(counts, 1))).astype(int)
-    lane = np.arange(states)
-    for size in np.unique(level[counts > 0]).tolist():
-        own = np.flatnonzero((level == size) & (counts > 0))
-        longest = int(counts[own].max())
-        at = np.minimum(firsts[own][None, :] + np.arange(longest)[:, None], len(scores) - 1)
-        inside = np.arange(longest)[:, None] < counts[own][None, :]
-        back = np.empty((longest, len(own), states), np.int16)
-        now = np.zeros((len(own), states), np.float32)
-        for t in range(longest):
-            top = now.max(axis=1, keepdims=True) - penalty
-            stay = now >= top
-            back[t] = np.where(stay, lane, now.argmax(axis=1)[:, None])
-            now = np.where(stay, now, top) + np.where(inside[t][:, None], scores[at[t]], 0)
-            now -= now.max(axis=1, keepdims=True)
-        state = now.argmax(axis=1)
-        row = np.arange(len(own))
-        for t in range(longest - 1, -1, -1):
-            here = inside[t]
-            out[at[t][here]] = state[here]
-            state = np.where(here, back[t, row, state], state)
+    order = np.argsort(-counts, kind="stable")[: int((counts > 0).sum())]
+    first = (np.cumsum(counts) - counts)[order]
+    steps = int(counts[order[0]]) if len(order) else 0
+    running = np.searchsorted(-counts[order], -np.arange(steps), "left").tolist()  # texts that have a word at each step
+    # a row for each state: sums and comparisons then run along the texts
+    rows, lane = np.ascontiguousarray(scores.T, np.float32), np.arange(states)[:, None]
+    now, least, back = np.zeros((states, len(order)), np.float32), np.float32(-penalty), []
+    for t, k in enumerate(running):
+        here = now[:, :k]  # the best state is at 0
+        back.append(np.where(here >= least, lane, here.argmax(axis=0)).astype(np.int16))
+        here = np.maximum(here, least) + rows[:, first[:k] + t]
+        here -= here.max(axis=0)
+        now[:, :k] = here
+    state, column = now.argmax(axis=0), np.arange(len(order))
+    for t in range(steps - 1, -1, -1):
+        k = running[t]
+        out[first[:k] + t] = state[:k]
+        state[:k] = back[t][state[:k], column[:k]]
     return out
 
 
@@ -180,13 +178,13 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     rows = docs.select(
         F.col(f"`{id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t"), F.col(f"`{lang}`").cast("string").alias("l")
     ).where("l is not null and t is not null")
-    per_language = rows.groupBy("l").agg(F.count("*").alias("n"))
-    sizes = {r.l: r.n for r in per_language.collect()}
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     unit = (F.abs(F.xxhash64("i", F.lit(11)) % 1_000_000) + 0.5) / 1_000_000
-    share = per_language.select("l", (F.lit(sample) / F.col("n")).alias("share"))
-    rows = rows.join(share, "l").where(unit < F.col("share"))
+    # a row for each language, of which the driver holds a whole column of the model
+    share = docs.sparkSession.createDataFrame([(k, sample / n) for k, n in sizes.items()], "l string, share double")
+    rows = rows.join(F.broadcast(share), "l").where(unit < F.col("share"))
     wide = BUCKETS + len(SCRIPTS)
 
     def run(batch: pa.RecordBatch):
