@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import clean
 from ..operators.indicators import add
 from .base import HOURLY, bars_sql, hourly, query, rounded, show, stamp, table
-from ..plans import number_rows
+from ..plans import number_rows, stage
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 
@@ -91,6 +93,23 @@ def quality(spark, sf):
     return clean.quality_report(raw(spark, sf))
 
 
+@query(
+    "quality_in_flight",
+    f"""{_RAW} select count(*) as rows, count(*) filter (ts is null) as bad_time,
+  count(*) filter (ts is not null and ({_NULL})) as null_values,
+  count(*) filter (ts is not null and not ({_NULL}) and ({_INF})) as infinite_values,
+  count(*) filter (ts is not null and not ({_NULL}) and not ({_INF})) as kept,
+  round(sum(low) filter (ts is not null and not ({_NULL}) and not ({_INF})), 4) + 0.0 as low
+from typed""",
+)
+def quality_in_flight(spark, sf):
+    """The counts of a cleaning run, made while it writes its rows."""
+    cleaned, seen = clean.clean_counted(raw(spark, sf))
+    rows = stage(cleaned, "cleaned")
+    counts = [F.lit(seen.get[c]).cast("bigint").alias(c) for c in ("rows", *clean.REASONS, "kept")]
+    return rows.agg(F.sum("low").alias("low")).select(*counts, F.expr("round(low, 4) + 0D as low"))
+
+
 @query(
     "duplicate_bars",
     """select l_partkey::varchar as symbol, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as ts, count(*) as copies

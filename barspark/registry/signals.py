@@ -410,20 +410,20 @@ def _price(c: str) -> str:
     return f"printf('%.5f', {c})"
 
 
-@query(
-    "zone_alerts",
-    bars_sql(
-        f"select symbol, {stamp()}, type, "
-        + _message(
-            "case type when 'SUPPLY' then 'Area Distribusi (Supply) terdeteksi pada ' "
-            "else 'Area Akumulasi (Demand) terdeteksi pada ' end",
-            {"Upper": _price("upper"), "Lower": _price("lower"), "Entry": _price("entry"), "SL": _price("sl"), "TP": _price("tp")},
-        )
-        + """ from (select z.*, b.ts from (select *, 'SUPPLY' as type from supply union all by name
+ZONE_ALERTS_SQL = bars_sql(
+    f"select symbol, {stamp()}, type, "
+    + _message(
+        "case type when 'SUPPLY' then 'Area Distribusi (Supply) terdeteksi pada ' "
+        "else 'Area Akumulasi (Demand) terdeteksi pada ' end",
+        {"Upper": _price("upper"), "Lower": _price("lower"), "Entry": _price("entry"), "SL": _price("sl"), "TP": _price("tp")},
+    )
+    + """ from (select z.*, b.ts from (select *, 'SUPPLY' as type from supply union all by name
   select *, 'DEMAND' as type from demand) z join bars b on b.symbol = z.symbol and b.rn = z.rn)""",
-        *zones_sql(0.9),
-    ),
+    *zones_sql(0.9),
 )
+
+
+@query("zone_alerts", ZONE_ALERTS_SQL)
 def zone_messages(spark, sf):
     found = zones.zone_rows(detected(spark, sf, APART))
     return show(sinks.zone_alerts(found, symbols(spark, sf), "H1"), ["symbol", "ts", "type", "message"])

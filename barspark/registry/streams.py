@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import stage, stage_path
+from ..sources import alert_log, sinks
 from ..streaming import bars as sb
 from ..streaming import signals as ss
 from ..streaming import state as st
-from .base import HOURLY, TICKS_SQL, bars_sql, hourly, query, quotes, rounded, show, stamp
-from .signals import APART, BALANCE, LOOKBACK, MOVES_SQL, SHOW_MOVES, STATE_WALK, ZONE, broker_status, detected, open_orders, order_log_sql
+from .base import HOURLY, TICKS_SQL, bars_sql, hourly, query, quotes, rounded, show, stamp, ticks
+from .signals import APART, BALANCE, LOOKBACK, MOVES_SQL, SHOW_MOVES, STATE_WALK, ZONE, ZONE_ALERTS_SQL, broker_status, detected, open_orders, order_log_sql
 from .signals import show_moves, show_order_log, tracked, zones_sql
 from .sources import OHLCV, positions, symbols
 from ..operators.trailing import own_positions
@@ -51,6 +52,37 @@ def closed_bars(spark, sf):
     return show(spark.read.parquet(path), numbers=OHLCV)
 
 
+LATE_CUT, LATE_DELAY = "2024-01-15", "10 days"
+
+
+@query(
+    "stream_bars_late",
+    f"""with arrived as (
+  select event_type as symbol, ts, event_id as tick_id, value as price from events
+  where event_id % 50 <> 0 or ts >= timestamp '{LATE_CUT}' or ts > (select max(ts) from events
+    where ts < timestamp '{LATE_CUT}' and event_id % 50 <> 0) - interval '{LATE_DELAY}')
+select symbol, strftime(date_trunc('hour', a.ts), '%Y-%m-%d %H:%M:%S') as ts, round(first(price order by a.ts, tick_id), 6) + 0.0 as open,
+  round(max(price), 6) + 0.0 as high, round(min(price), 6) + 0.0 as low, round(last(price order by a.ts, tick_id), 6) + 0.0 as close,
+  count(*)::double as volume
+from arrived a group by symbol, date_trunc('hour', a.ts)
+having date_trunc('hour', a.ts) + interval 1 hour <= (select max(ts) from events) - interval '{LATE_DELAY}'""",
+)
+def late_bars(spark, sf):
+    """Bars of ticks some of which come twice, and some of which come late: by less than the delay, or by more."""
+    every = ticks(spark, sf)
+    held = F.col("tick_id") % 50 == 0
+    first = every.filter((F.col("ts") < LATE_CUT) & ~held)
+    runs = [first.unionByName(first.filter("tick_id % 20 = 1")), every.filter((F.col("ts") >= LATE_CUT) | held)]
+    source, out, checkpoint = (stage_path(spark, f"late-{x}") for x in ("ticks", "bars", "checkpoint"))
+    for rows in runs:
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(every.schema).parquet(source)
+        bars = sb.stream_bars(stream, "H1", delay=LATE_DELAY, distinct=True)
+        writer = bars.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return show(spark.read.schema(bars.schema).parquet(out), numbers=OHLCV)
+
+
 @query(
     "stream_ticks",
     f"""with {TICKS_SQL} select symbol, count(*) as ticks, round(sum(price), 4) + 0.0 as total
@@ -117,6 +149,21 @@ def trailing_stream(spark, sf):
     return show_moves(rows)
 
 
+@query("stream_alerts", ZONE_ALERTS_SQL)
+def alert_stream(spark, sf):
+    """The text of every zone of bars that arrive in two periods, from an alert log with a commit for each batch."""
+    bars = stage(hourly(spark, sf).select("symbol", "ts", "open", "high", "low", "close"), "alert-bars")
+    digits = stage(symbols(spark, sf).select("symbol", "digits"), "alert-digits")
+    source, log, checkpoint = (stage_path(spark, f"alert-{x}") for x in ("source", "log", "checkpoint"))
+    st.use_state_store(spark)
+    for part in ("ts < '2024-01-15'", "ts >= '2024-01-15'"):
+        bars.filter(part).write.mode("append").parquet(source)
+        found = st.zone_stream(spark.readStream.schema(bars.schema).parquet(source), LOOKBACK, APART)
+        alert_log.start_alerts(sinks.zone_alerts(found, digits, "H1"), log, checkpoint).awaitTermination()
+    rows = alert_log.read_alerts(spark, log, "symbol string, ts timestamp, type string, message string")
+    return show(rows, ["symbol", "ts", "type", "message"])
+
+
 ORDER_CUTS = ("2024-01-10", "2024-01-20")
 # step by step: bars (kind 2), orders that are gone (1) and the checks after each run but the first (0)
 _FLOW = f"""steps as (

@@ -107,3 +107,16 @@ def test_duplicates_are_reported(spark):
     pdf = random_bars(5)
     twice = spark.createDataFrame(pd.concat([pdf, pdf[:1]]))
     assert [(r.ts, r.copies) for r in clean.duplicate_bars(twice).collect()] == [(pdf.ts[0], 2)]
+
+
+def test_drops_are_counted_while_rows_pass(spark):
+    good = ("2024-01-01 00:00:00", "1", "2", "0.5", "1", "3")
+    rows = [("A", *good), ("A", "?", *good[1:]), ("B", *good[:3], None, *good[4:]), ("B", *good[:5], "Infinity"), ("B", *good)]
+    raw = spark.createDataFrame(rows, "symbol string, ts string, open string, high string, low string, close string, volume string")
+    cleaned, seen = clean.clean_counted(raw)
+    kept = cleaned.collect()
+    total = clean.quality_report(raw).groupBy().sum().first()
+    assert seen.get == {c: total[f"sum({c})"] for c in ("rows", *clean.REASONS, "kept")}
+    assert len(kept) == seen.get["kept"] == 2 and set(cleaned.columns) == set(raw.columns)
+    nothing, seen = clean.clean_counted(raw.limit(0))
+    assert nothing.count() == 0 and set(seen.get.values()) == {0}

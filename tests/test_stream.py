@@ -80,3 +80,23 @@ def test_zone_state_is_bounded_whatever_the_history(spark, tmp_path):
     for epoch, a in enumerate(range(0, 400, 200)):
         sink(spark.createDataFrame(pdf[a : a + 200]), epoch)
         assert spark.read.parquet(f"{tmp_path}/zone_state/epoch={epoch}").count() == 12
+
+
+def test_late_and_repeated_ticks(spark, tmp_path):
+    """With a delay of an hour: late by less, late by more, and a tick that comes twice."""
+    src, out, check = (str(tmp_path / p) for p in ("ticks", "bars", "check"))
+
+    def run():
+        bars = sb.stream_bars(sb.stream_ticks(spark, src, TICK), "H1", delay="1 hour", distinct=True)
+        writer = bars.writeStream.format("parquet").option("path", out).option("checkpointLocation", check)
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sb.late_ticks(query), ordered(spark.read.schema(bars.schema).parquet(out))
+
+    arrive(spark, src, [("A", "2024-01-01 00:50", 1, 5.0), ("A", "2024-01-01 00:50", 1, 5.0), ("A", "2024-01-01 02:10", 2, 6.0)])
+    late, _ = run()
+    assert late == 0
+    arrive(spark, src, [("A", "2024-01-01 01:30", 3, 1.0), ("A", "2024-01-01 00:55", 4, 9.0), ("A", "2024-01-01 02:10", 2, 6.0), ("A", "2024-01-01 05:00", 5, 7.0)])
+    late, bars = run()
+    assert late == 1
+    assert bars.ts.dt.hour.tolist() == [0, 1, 2] and bars.volume.tolist() == [1, 1, 1] and bars.high.tolist() == [5, 1, 6]
