@@ -3,10 +3,12 @@
 import os
 import zlib
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from barspark.llm.queries import QUERIES
+from barspark.llm.queries import ORACLES, QUERIES
+from check import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -56,3 +58,12 @@ def test_query(spark, name):
     if name.startswith("op10"):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
         assert all(r.predicted == int(r.score >= 0.5) for r in rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    db = duckdb.connect()
+    for table in TABLES:
+        db.sql(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
+    assert compare(QUERIES[name](spark, FOLDER).toPandas(), db.sql(ORACLES[name]).df()) == "ok"
