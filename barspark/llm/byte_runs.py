@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,11 +97,11 @@ def gather_runs(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def remove_runs(rows: DataFrame, runs: DataFrame, least: int = 1) -> DataFrame:
+def remove_runs(rows: DataFrame, runs: DataFrame, grow: Callable[[bytes, pa.Array], tuple] | None = None) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and the bytes ``kept`` of each row without its runs.
 
-    ``rows`` as from ``keyed``, ``runs`` as from ``gather_runs``; runs may touch or overlap and are in no order. United
-    runs of fewer than ``least`` bytes stay, unless one is the whole text.
+    ``rows`` as from ``keyed``, ``runs`` as from ``gather_runs``; runs may touch or overlap and are in no order. ``grow``
+    makes the starts and ends of what goes from a text's bytes and its runs; without it the runs themselves go.
     """
     runs = runs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "runs")
     both = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
@@ -114,13 +114,11 @@ def remove_runs(rows: DataFrame, runs: DataFrame, least: int = 1) -> DataFrame:
             own = found[i].values if found[i].is_valid else None
             removed, spans, kept = 0, 0, body
             if own is not None and len(own):
-                start, end = (own.field(c).to_numpy() for c in ("start", "end"))
+                start, end = grow(body, own) if grow else (own.field(c).to_numpy() for c in ("start", "end"))
                 order = np.argsort(start, kind="stable")
                 start, end = start[order], np.maximum.accumulate(end[order])
-                first = np.concatenate(([True], start[1:] > end[:-1]))
-                starts, ends = start[first], end[np.append(first[1:], True)]
-                long = (ends - starts >= least) | (ends - starts == len(body))
-                starts, ends = starts[long], ends[long]
+                first = np.concatenate(([True], start[1:] > end[:-1]))[: len(start)]
+                starts, ends = start[first], end[np.append(first[1:], True)[: len(end)]]
                 spans, removed = len(starts), int((ends - starts).sum())
                 edges = [0, *np.stack([starts, ends], axis=1).reshape(-1).tolist(), len(body)]
                 kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2]))

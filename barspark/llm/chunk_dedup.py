@@ -5,10 +5,11 @@ last end at the earliest and ``MOST`` at the latest, so an insertion moves only
 rolling hash first; those that occur once go no further. The others get a BLAKE2 digest, the first place of each (by
 document id, then place) keeps it, and the later ones are repeats.
 
-Consecutive repeats of a text are one run, and every run goes that holds a whole chunk. Only what is left over at the end of
-a text or part, fewer than ``LEAST`` bytes, stays if it repeats alone and is not the whole text. Texts are chunked in parts
-of ``byte_runs.PIECE`` bytes. Chunks are small, as a shared passage keeps what its first and last chunk share with its
-surroundings: of passages of 51 words nearly all lose more than half.
+Consecutive repeats of a text whose first places are consecutive too are one run. It grows byte by byte on both sides for
+as long as the text agrees with what surrounds the first place, by ``REACH`` bytes a side at most; what lies beyond is for
+the chunks there. A run of ``PASSAGE`` bytes or more goes, or one that is the whole text; shorter repeats, such as words
+that any two texts share, stay. A byte that goes thus has an equal one at an earlier place, and texts in which no
+``PASSAGE`` bytes repeat lose nothing. Texts are chunked in parts of ``byte_runs.PIECE`` bytes; runs grow across them.
 
 Null texts are empty and lose nothing. Rows that repeat an id and its text are one document. A null id sorts first. Every
 input row gives one output row. An empty table gives no rows.
@@ -25,15 +26,15 @@ from pyspark.sql import functions as F
 
 from ..plans import stage
 from . import byte_runs as B
-from .common import map_arrow
+from .common import map_arrow, parts
 from .repeats import bitmap_of, listed
 from .shingles import BYTE_VALUES
 
 WINDOW = 32
-TOP_BITS = 4
+TOP_BITS = 5
 LEAST, MOST = 16, 256
-#: The least bytes of a run: those of a chunk.
-RUN = LEAST
+#: The least bytes of a passage that goes, and those by which a run may grow on a side.
+PASSAGE, REACH = 200, 256
 GEAR = (BYTE_VALUES >> np.uint64(32)).astype(np.uint32)
 
 
@@ -90,8 +91,11 @@ def _chunks(texts: pa.Array):
         yield data, first, last, B.Stretches(data).between(first, last), rows[part], first - places[part] + bases[part]
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """``doc_id``, ``text_key`` and ``runs`` (a chunk each) of the chunks that occur before; ``rows`` as from ``keyed``."""
+def later_chunks(rows: DataFrame) -> DataFrame:
+    """``doc_id``, ``text_key`` and ``chunks`` of each text that holds chunks with an earlier place; ``rows`` as from ``keyed``.
+
+    A chunk is its ``start`` and ``end``, and the text (``sd``, ``sk``) and start (``ss``) of the first place.
+    """
 
     def count(batch: pa.RecordBatch):
         for _, _, _, h, _, _ in _chunks(batch.column(0)):
@@ -118,13 +122,108 @@ def repeated(rows: DataFrame) -> DataFrame:
     signed = stage(map_arrow(rows.select("doc_id", "text_key", "text"), sign, schema), "digests")
     place = F.struct("doc_id", "text_key", "start")
     firsts = signed.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return (
-        signed.join(firsts.select("digest", "first"), "digest").where(~place.eqNullSafe(F.col("first")))
-        .select("doc_id", "text_key", F.array(F.struct("start", "end")).alias("runs"))
+    later = signed.join(firsts.select("digest", "first"), "digest").where(~place.eqNullSafe(F.col("first")))
+    chunk = F.struct(
+        "start", "end", F.col("first.doc_id").alias("sd"), F.col("first.text_key").alias("sk"), F.col("first.start").alias("ss")
     )
+    # a set, so that rows which repeat an id and its text add nothing
+    return later.groupBy("doc_id", "text_key").agg(F.collect_set(chunk).alias("chunks"))
+
+
+def runs_of(chunks: list[tuple]) -> list[tuple]:
+    """Runs of chunks ``(start, end, sd, sk, ss)`` that follow each other here and at their first places."""
+    out: list[tuple] = []
+    for start, end, sd, sk, ss in sorted(chunks, key=lambda c: c[0]):
+        if out:
+            a, b, d, k, s = out[-1]
+            if b == start and (d, k) == (sd, sk) and s - a == ss - start:
+                out[-1] = (a, end, d, k, s)
+                continue
+        out.append((start, end, sd, sk, ss))
+    return out
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = RUN) -> DataFrame:
+def _joined_runs(batch: pa.RecordBatch):
+    names = ("start", "end", "sd", "sk", "ss")
+    for part in parts(batch):
+        out: dict[str, list] = {c: [] for c in ("doc_id", "text_key", "run", *names)}
+        for doc, key, chunks in zip(*(c.to_pylist() for c in part.columns)):
+            for i, run in enumerate(runs_of([tuple(c[n] for n in names) for c in chunks])):
+                for c, v in zip(out, (doc, key, i, *run)):
+                    out[c].append(v)
+        yield out
+
+
+def _surroundings(batch: pa.RecordBatch):
+    """The bytes before (even edges) or after (odd ones) the places ``edge // 2`` that are asked of a text."""
+    for part in parts(batch):
+        out: dict[str, list] = {c: [] for c in ("sd", "sk", "edge", "near")}
+        for doc, key, edges, text in zip(*(c.to_pylist() for c in part.columns[:3]), part.column(3)):
+            body = text.as_buffer().to_pybytes()
+            for edge in edges:
+                at = edge // 2
+                near = body[at : at + REACH] if edge & 1 else body[max(0, at - REACH) : at]
+                for c, v in zip(out, (doc, key, edge, near)):
+                    out[c].append(v)
+        yield out
+
+
+def with_surroundings(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Two rows for each run: ``doc_id``, ``text_key`` and ``runs`` (its number, start, end, side, and the bytes on that
+    side of its first place).
+
+    A first place is asked for once, however many texts repeat it.
+    """
+    last = F.col("ss") + F.col("end") - F.col("start")
+    sides = F.explode(F.array(F.col("ss") * 2, last * 2 + 1)).alias("edge")
+    ends = runs.select("doc_id", "text_key", "run", "start", "end", "sd", "sk", sides)
+    asked = ends.groupBy("sd", "sk").agg(F.collect_set("edge").alias("edges"))
+    bodies = rows.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    held = asked.join(bodies, F.col("sd").eqNullSafe(F.col("doc_id")) & (F.col("sk") == F.col("text_key")))
+    near = map_arrow(
+        held.select("sd", "sk", "edges", "text"), _surroundings, "sd bigint, sk bigint, edge bigint, near binary"
+    ).select(F.col("sd").alias("nd"), F.col("sk").alias("nk"), F.col("edge").alias("ne"), "near")
+    same = F.col("sd").eqNullSafe(F.col("nd")) & (F.col("sk") == F.col("nk")) & (F.col("edge") == F.col("ne"))
+    run = F.struct("run", "start", "end", (F.col("edge") % 2).alias("side"), "near")
+    return ends.join(near, same).select("doc_id", "text_key", F.array(run).alias("runs"))
+
+
+def common_bytes(a: bytes, b: bytes) -> int:
+    """The number of bytes at the begin that ``a`` and ``b`` share."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low = 0  # a[:low] agrees, a[:n] doesn't
+    while n - low > 1:
+        middle = (low + n) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            n = middle
+    return low
+
+
+def grown(least: int):
+    """What goes of a text: its runs, grown, if they reach ``least`` bytes or are the whole text."""
+
+    def grow(body: bytes, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        whole: dict[int, list[int]] = {}
+        for r in runs.to_pylist():
+            span = whole.setdefault(r["run"], [r["start"], r["end"]])
+            if r["side"]:
+                span[1] += common_bytes(body[r["end"] : r["end"] + REACH], r["near"])
+            else:
+                span[0] -= common_bytes(body[max(0, r["start"] - REACH) : r["start"]][::-1], r["near"][::-1])
+        long = [(a, b) for a, b in whole.values() if b - a >= least or b - a == len(body)]
+        start, end = np.array(long, np.int64).reshape(-1, 2).T
+        return start, end
+
+    return grow
+
+
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = PASSAGE) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and the bytes ``kept`` of every row."""
     rows = B.keyed(docs, id, text)
-    return B.remove_runs(rows, B.gather_runs(repeated(rows)), least)
+    schema = "doc_id bigint, text_key bigint, run int, start bigint, end bigint, sd bigint, sk bigint, ss bigint"
+    runs = stage(map_arrow(later_chunks(rows), _joined_runs, schema), "runs")
+    return B.remove_runs(rows, B.gather_runs(with_surroundings(runs, rows)), grown(least))
