@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import stage
 from .common import map_arrow
+from .repeats import split_rows
 from .shingles import BYTE_VALUES, mix, text_bytes
 
 #: An odd base and its inverse modulo 2 ** 64.
@@ -101,10 +103,13 @@ def remove_runs(rows: DataFrame, runs: DataFrame, grow: Callable[[bytes, pa.Arra
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and the bytes ``kept`` of each row without its runs.
 
     ``rows`` as from ``keyed``, ``runs`` as from ``gather_runs``; runs may touch or overlap and are in no order. ``grow``
-    makes the starts and ends of what goes from a text's bytes and its runs; without it the runs themselves go.
+    makes the starts and ends of what goes from a text's bytes and its runs; without it the runs themselves go. Texts
+    without runs aren't shuffled.
     """
+    runs = stage(runs, "cuts")
+    some, others = split_rows(rows, runs)
     runs = runs.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "runs")
-    both = rows.join(runs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
+    both = some.join(runs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
 
     def cut(batch: pa.RecordBatch):
         out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept")}
@@ -126,9 +131,14 @@ def remove_runs(rows: DataFrame, runs: DataFrame, grow: Callable[[bytes, pa.Arra
                 out[c].append(v)
         yield {"doc_id": batch.column(0), **out}
 
+    none = F.lit(0).cast("bigint")
+    whole = others.select(
+        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.col("text").cast("binary").alias("kept"),
+    )
     return map_arrow(
         both.select("doc_id", "text", "runs"), cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
-    )
+    ).unionByName(whole)
 
 
 def digest(cut: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ Consecutive repeats of a text whose first places are consecutive too are one run
 as long as the text agrees with what surrounds the first place, by ``REACH`` bytes a side at most; what lies beyond is for
 the chunks there. A run of ``PASSAGE`` bytes or more goes, or one that is the whole text; shorter repeats, such as words
 that any two texts share, stay. A byte that goes thus has an equal one at an earlier place, and texts in which no
-``PASSAGE`` bytes repeat lose nothing. Texts are chunked in parts of ``byte_runs.PIECE`` bytes; runs grow across them.
+``PASSAGE`` bytes repeat lose nothing. Chunks that share too little with the first place on either side are left out
+early, by hashes of these sides. Texts are chunked in parts of ``byte_runs.PIECE`` bytes; runs grow across them.
 
 Null texts are empty and lose nothing. Rows that repeat an id and its text are one document. A null id sorts first. Every
 input row gives one output row. An empty table gives no rows.
@@ -21,13 +22,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import stage
 from . import byte_runs as B
 from .common import map_arrow, parts
-from .repeats import bitmap_of, listed
+from .repeats import bitmap_of, listed, split_rows
 from .shingles import BYTE_VALUES
 
 WINDOW = 32
@@ -84,11 +86,31 @@ def chunk_ends(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _chunks(texts: pa.Array):
-    """By piece: its bytes, and of its chunks the first and last place, the hash, the row, and the place in the text."""
+    """By piece: its hashes, the places of its parts, and of its chunks the first and last place, the hash, the part, the
+    row, and the place in the text, and its bytes."""
     for data, rows, places, bases in B.pieces(texts, 0):
         first, last = chunk_ends(data, places)
         part = np.searchsorted(places, first, "right") - 1
-        yield data, first, last, B.Stretches(data).between(first, last), rows[part], first - places[part] + bases[part]
+        stretches = B.Stretches(data)
+        yield (
+            stretches, places, first, last, stretches.between(first, last), part, rows[part],
+            first - places[part] + bases[part], data,
+        )
+
+
+def flanks(
+    stretches: B.Stretches, places: np.ndarray, first: np.ndarray, last: np.ndarray, part: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (32 bits, not negative) of the bytes before and after chunks, as many as one side at least must share with
+    the first place for a passage of ``PASSAGE`` bytes; -1 where the part has fewer.
+    """
+    width = np.maximum(0, -(-(PASSAGE - (last - first)) // 2))
+    out = []
+    for begin, end in ((first - width, first), (last, last + width)):
+        inside = (begin >= places[part]) & (end <= places[part + 1])
+        h = stretches.between(np.where(inside, begin, first), np.where(inside, end, last))
+        out.append(np.where(inside, (h >> np.uint64(33)).astype(np.int64), -1))
+    return out[0], out[1]
 
 
 def later_chunks(rows: DataFrame) -> DataFrame:
@@ -98,7 +120,7 @@ def later_chunks(rows: DataFrame) -> DataFrame:
     """
 
     def count(batch: pa.RecordBatch):
-        for _, _, _, h, _, _ in _chunks(batch.column(0)):
+        for _, _, _, _, h, _, _, _, _ in _chunks(batch.column(0)):
             h, n = np.unique(h, return_counts=True)
             yield {"h": pa.array(h.view(np.int64)), "n": pa.array(n)}
 
@@ -107,22 +129,34 @@ def later_chunks(rows: DataFrame) -> DataFrame:
     bitmap = rows.sparkSession.sparkContext.broadcast(bitmap_of(often, often.count()))
 
     def sign(batch: pa.RecordBatch):
-        for data, first, last, h, row, at in _chunks(batch.column(2)):
+        sizes = pa.compute.binary_length(batch.column(2)).to_numpy()
+        for stretches, places, first, last, h, part, row, at, data in _chunks(batch.column(2)):
             keep = listed(bitmap.value, h)
+            first, last, part, row, at = first[keep], last[keep], part[keep], row[keep], at[keep]
             body = data.tobytes()
-            spans = zip(first[keep].tolist(), last[keep].tolist())
-            owner = pa.array(row[keep])
+            before, after = flanks(stretches, places, first, last, part)
+            # parts of long texts, and texts that may go whole though they are short
+            open_ = (sizes[row] < PASSAGE) | (sizes[row] != np.diff(places)[part])
+            spans = zip(first.tolist(), last.tolist())
+            owner = pa.array(row)
             yield {
                 "digest": [hashlib.blake2b(body[a:b], digest_size=16).digest() for a, b in spans],
                 "doc_id": batch.column(0).take(owner), "text_key": batch.column(1).take(owner),
-                "start": pa.array(at[keep]), "end": pa.array((at + last - first)[keep]),
+                "start": pa.array(at), "end": pa.array(at + last - first),
+                "before": pa.array(before), "after": pa.array(after), "open": pa.array(open_),
             }
 
-    schema = "digest binary, doc_id bigint, text_key bigint, start bigint, end bigint"
+    schema = (
+        "digest binary, doc_id bigint, text_key bigint, start bigint, end bigint, before int, after int, open boolean"
+    )
     signed = stage(map_arrow(rows.select("doc_id", "text_key", "text"), sign, schema), "digests")
-    place = F.struct("doc_id", "text_key", "start")
+    place = F.struct("doc_id", "text_key", "start", "before", "after", "open")
     firsts = signed.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = signed.join(firsts.select("digest", "first"), "digest").where(~place.eqNullSafe(F.col("first")))
+    # a run that reaches PASSAGE bytes shares half of what its chunk lacks on one side at least
+    alike = (F.col("before") >= 0) & (F.col("before") == F.col("first.before"))
+    alike |= (F.col("after") >= 0) & (F.col("after") == F.col("first.after"))
+    later = later.where(alike | F.col("open") | F.col("first.open"))
     chunk = F.struct(
         "start", "end", F.col("first.doc_id").alias("sd"), F.col("first.text_key").alias("sk"), F.col("first.start").alias("ss")
     )
@@ -177,8 +211,9 @@ def with_surroundings(runs: DataFrame, rows: DataFrame) -> DataFrame:
     last = F.col("ss") + F.col("end") - F.col("start")
     sides = F.explode(F.array(F.col("ss") * 2, last * 2 + 1)).alias("edge")
     ends = runs.select("doc_id", "text_key", "run", "start", "end", "sd", "sk", sides)
-    asked = ends.groupBy("sd", "sk").agg(F.collect_set("edge").alias("edges"))
-    bodies = rows.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    asked = stage(ends.groupBy("sd", "sk").agg(F.collect_set("edge").alias("edges")), "asked")
+    some, _ = split_rows(rows, asked.select(F.col("sd").alias("doc_id"), F.col("sk").alias("text_key")))
+    bodies = some.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
     held = asked.join(bodies, F.col("sd").eqNullSafe(F.col("doc_id")) & (F.col("sk") == F.col("text_key")))
     near = map_arrow(
         held.select("sd", "sk", "edges", "text"), _surroundings, "sd bigint, sk bigint, edge bigint, near binary"

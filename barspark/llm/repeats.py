@@ -7,6 +7,7 @@ hashes than bits nearly all go on, and results stay the same.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,3 +44,18 @@ def bitmap_of(hashes: DataFrame, count: int) -> np.ndarray:
 def listed(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = hashes >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
     return bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+
+
+def split_rows(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (``doc_id``, ``text_key``, ...) that may be among the texts of ``wanted``, and those that aren't.
+
+    Only the first need a shuffle to meet ``wanted``, a written table; some of them meet nothing.
+    """
+    hashes = wanted.select(F.xxhash64("doc_id", "text_key").alias("h"))
+    bitmap = rows.sparkSession.sparkContext.broadcast(bitmap_of(hashes, wanted.count()))
+
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(listed(bitmap.value, h.to_numpy().view(np.uint64)))
+
+    among = F.pandas_udf(test, "boolean")(F.xxhash64("doc_id", "text_key"))
+    return rows.where(among), rows.where(~among)
