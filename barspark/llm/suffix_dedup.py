@@ -9,8 +9,8 @@ A byte goes if a ``LENGTH``-byte string that covers it also starts elsewhere, in
 * **Only what can repeat.** The anchors of all homes are counted; a fragment whose anchor occurs once holds nothing that
   repeats. Which anchors occur again goes out as a bitmap of at most ``MOST_BITS`` bits; a bit shared by chance only
   lets a fragment through in vain.
-* **Suffix arrays.** Equal fragments of a shard are counted once more; the only fragment of an anchor needs no sorting.
-  The others are sorted by Larsson and Sadakane's refinement, which doubles the sorted prefix and sorts again only what
+* **Suffix arrays.** Fragments of a shard with equal anchor and fragment hashes (128 bits) are one, with their number. All
+  are sorted by Larsson and Sadakane's refinement, which doubles the sorted prefix and sorts again only what
   is still tied, up to ``LENGTH`` bytes. Kasai's rule gives the common prefixes of
   neighbours, in lockstep over the fragments. Neighbours that share ``LENGTH`` bytes are one string.
 * **Merging.** An anchor with many fragments is split over several shards. Their distinct strings are then looked up by
@@ -223,20 +223,11 @@ def _search_shard(table: pa.Table, length: int) -> pa.Table:
     copies = np.add.reduceat(n, cut)
     h, d, split = h[cut], d[cut], split[cut]
     anchor = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
-    alike = np.bincount(anchor)[anchor] == 1  # the only fragment of its anchor: a sorted array as it is
     found = {"h": [], "d": [], "runs": [], "single": []}
     bodies = table["body"].take(pa.array(cut)).combine_chunks()
     bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
-    sizes = pa.compute.binary_length(bodies).to_numpy()
-    settled = alike & ~split
-    for i in np.flatnonzero(settled & (copies > 1)).tolist():
-        found["h"].append(int(h[i]))
-        found["d"].append(int(d[i]))
-        found["runs"].append([{"start": 0, "end": int(sizes[i]) - length + 1}])
-        found["single"].append([])
-    row = np.flatnonzero(~settled)
-    if len(row):
-        _sorted_part(bodies.take(pa.array(row)), h[row], d[row], copies[row], split[row], anchor[row], found, length)
+    if len(h):
+        _sorted_part(bodies, h, d, copies, split, anchor, found, length)
     schema = pa.schema([
         ("h", pa.int64()), ("d", pa.int64()),
         ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
