@@ -9,8 +9,10 @@ A byte goes if a ``LENGTH``-byte string that covers it also starts elsewhere, in
 * **Only what can repeat.** The anchors of all homes are counted; a fragment whose anchor occurs once holds nothing that
   repeats. Which anchors occur again goes out as a bitmap of at most ``MOST_BITS`` bits; a bit shared by chance only
   lets a fragment through in vain.
-* **Suffix arrays.** Fragments of a shard with equal anchor and fragment hashes (128 bits) are one, with their number. All
-  are sorted by Larsson and Sadakane's refinement, which doubles the sorted prefix and sorts again only what
+* **Suffix arrays.** Equal fragments of a shard are counted once more and compared byte by byte. The only fragment of an
+  anchor needs no sorting: the anchor is at another place in each of its strings, so these differ, and repeat if the
+  fragment does.
+  The others are sorted by Larsson and Sadakane's refinement, which doubles the sorted prefix and sorts again only what
   is still tied, up to ``LENGTH`` bytes. Kasai's rule gives the common prefixes of
   neighbours, in lockstep over the fragments. Neighbours that share ``LENGTH`` bytes are one string.
 * **Merging.** An anchor with many fragments is split over several shards. Their distinct strings are then looked up by
@@ -41,6 +43,8 @@ ANCHOR = 48
 #: Bytes of fragments in a shard, on average, and occurrences of an anchor beyond which it is split over shards.
 SHARD = 3_000_000
 SPLIT = 8192
+#: Bytes of fragments in a suffix array, and one anchor's more.
+ARRAY = 1_000_000
 
 
 def homes(data: np.ndarray, places: np.ndarray, length: int, anchor: int):
@@ -219,15 +223,33 @@ def _search_shard(table: pa.Table, length: int) -> pa.Table:
     """By fragment the starts of strings that repeat here; of split anchors also one start of each string."""
     table = table.sort_by([("h", "ascending"), ("d", "ascending")])
     h, d, n, split = (table[c].to_numpy() for c in ("h", "d", "n", "split"))
-    cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1]))))
+    fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])))
+    cut = np.flatnonzero(fresh)
     copies = np.add.reduceat(n, cut)
+    every = table["body"]
+    if not pa.compute.all(pa.compute.equal(every, every.take(pa.array(cut[np.cumsum(fresh) - 1])))).as_py():
+        raise ValueError("two fragments with the same 128 bits of hash differ")
     h, d, split = h[cut], d[cut], split[cut]
     anchor = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
+    alike = np.bincount(anchor)[anchor] == 1  # the only fragment of its anchor: a sorted array as it is
     found = {"h": [], "d": [], "runs": [], "single": []}
     bodies = table["body"].take(pa.array(cut)).combine_chunks()
     bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
-    if len(h):
-        _sorted_part(bodies, h, d, copies, split, anchor, found, length)
+    sizes = pa.compute.binary_length(bodies).to_numpy()
+    settled = alike & ~split
+    for i in np.flatnonzero(settled & (copies > 1)).tolist():
+        found["h"].append(int(h[i]))
+        found["d"].append(int(d[i]))
+        found["runs"].append([{"start": 0, "end": int(sizes[i]) - length + 1}])
+        found["single"].append([])
+    rest = np.flatnonzero(~settled)
+    # whole anchors at a time, about ARRAY bytes of them
+    filled = np.cumsum(sizes[rest]) // ARRAY
+    group = filled[np.searchsorted(anchor[rest], anchor[rest], "left")] if len(rest) else filled
+    for row in np.split(rest, np.flatnonzero(np.diff(group)) + 1):
+        if len(row):
+            of = np.unique(anchor[row], return_inverse=True)[1]
+            _sorted_part(bodies.take(pa.array(row)), h[row], d[row], copies[row], split[row], of, found, length)
     schema = pa.schema([
         ("h", pa.int64()), ("d", pa.int64()),
         ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),

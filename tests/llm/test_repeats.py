@@ -54,6 +54,7 @@ def test_repeated_strings_equal_brute_force(make, empty):
 def test_split_anchors(make, monkeypatch):
     monkeypatch.setattr(X, "SPLIT", 2)
     monkeypatch.setattr(X, "SHARD", 2000)
+    monkeypatch.setattr(X, "ARRAY", 700)
     assert result(X.remove_repeats(make(ROWS))) == brute_strings(ROWS, 200)
     assert result(X.remove_repeats(make(ROWS), length=64)) == brute_strings(ROWS, 64)
 
