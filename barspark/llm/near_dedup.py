@@ -1,9 +1,10 @@
 """Near-duplicates: SuperMinHash signatures, banding, verification on full shingle sets, union-find by contraction.
 
 1. Every text gives its set size, a 128-bit digest of its set, and the hashes of its bands. Texts with equal sets are
-   one class, of which the smallest id goes on: copies, however many, are counted and never paired.
-2. Classes that share a band are candidates. Each is compared with the smallest id of its bucket; those links are
-   contracted to groups.
+   one class with a number, of which one row goes on (smallest id, then hash of the text): copies, however many, are
+   never paired.
+2. Classes that share a band are candidates. Each is compared with the first of its bucket; those links are contracted
+   to groups.
 3. A bucket whose members are of one group is done. In the others, members outside the largest group are compared
    with all members of other groups, inside tasks and in blocks of ``BLOCK`` members, so no pair becomes a row unless
    it is a link. Pairs that share several bands are compared once. Sets are compared whole; an estimate from the
@@ -12,9 +13,11 @@
 
 With ``BANDS`` bands of ``ROWS`` rows a pair of similarity 0.8 shares no band with a probability below 7e-6.
 
-A text without words has an empty set, is linked with nothing and is its own component. Rows that repeat an id are one
-node; should their texts differ, one of these stands for all in comparisons. Rows with a null id take the component of their class, without that null.
-Every input row gives one output row. An empty table gives no rows.
+A text without words has an empty set, is linked with nothing and is its own component. Rows that repeat an id with
+different texts are compared each with its own text, and ``component_id`` is the smallest id among the rows that a row
+reaches; rows with a null id link like others and give a component its name only if all its ids are null. ``chosen``
+marks one (``doc_id``, ``text_key``) of every component, the smallest id, then hash of the text; rows that repeat both
+are marked alike, and so is every row without words. Every input row gives one output row. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ PERCENT = 80
 BANDS, ROWS = 30, 5
 #: Members of a bucket that are compared in one unit.
 BLOCK = 1024
+#: Matches texts with at least one word.
+HAS_WORD = r"[^\x20\x09-\x0D]"
 DIGEST_SALT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -51,8 +56,9 @@ def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id: str, text: str, width: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, the digest (``low``, ``high``) and ``bands`` of every row."""
-    source = docs.select(F.col(f"`{id}`").cast("bigint").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
+    """``doc_id``, ``text_key``, ``n_shingles``, the digest (``low``, ``high``) and ``bands`` of every row."""
+    body = F.col(f"`{text}`").cast("string")
+    source = docs.select(F.col(f"`{id}`").cast("bigint").alias("d"), body.alias("t"), F.xxhash64(body).alias("k"))
 
     def run(batch: pa.RecordBatch):
         for a, b, elements, ends in _sets(batch.column(1), width):
@@ -60,19 +66,21 @@ def signatures(docs: DataFrame, id: str, text: str, width: int, bands: int, rows
             offsets = pa.array(np.arange(0, bands * (b - a) + 1, bands, dtype=np.int32))
             yield {
                 "doc_id": batch.column(0).slice(a, b - a),
+                "text_key": batch.column(2).slice(a, b - a),
                 "n_shingles": pa.array(np.diff(ends)),
                 "low": pa.array(_sums(S.mix(elements), ends)),
                 "high": pa.array(_sums(S.mix(elements ^ DIGEST_SALT), ends)),
                 "bands": pa.ListArray.from_arrays(offsets, pa.array(hashes.reshape(-1))),
             }
 
-    return map_arrow(source, run, "doc_id bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>")
+    schema = "doc_id bigint, text_key bigint, n_shingles bigint, low bigint, high bigint, bands array<bigint>"
+    return map_arrow(source, run, schema)
 
 
 def _verify_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose sets are similar enough."""
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b"
+    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"
     ).select("a", "b", "ta", "tb")
 
     def run(batch: pa.RecordBatch):
@@ -89,10 +97,10 @@ def _verify_pairs(pairs: DataFrame, texts: DataFrame, width: int, percent: int)
 
 
 def _compare_unit(table: pa.Table, width: int, percent: int) -> pa.Table:
-    """The links of a unit: ``doc_id``, ``label``, ``role`` (0 member, 1 probe), ``bands`` and ``text`` of its rows."""
-    table = table.sort_by([("role", "ascending"), ("doc_id", "ascending")])
+    """The links of a unit: ``node``, ``label``, ``role`` (0 member, 1 probe), ``bands`` and ``text`` of its rows."""
+    table = table.sort_by([("role", "ascending"), ("node", "ascending")])
     role = table["role"].to_numpy()
-    ids, labels = table["doc_id"].to_numpy(), table["label"].to_numpy()
+    ids, labels = table["node"].to_numpy(), table["label"].to_numpy()
     stray, place = table["stray"].to_numpy(), table["band"].to_numpy()
     sets: list[np.ndarray] = []
     for chunk in table["text"].chunks:
@@ -127,8 +135,8 @@ def _compare_buckets(
     members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int
 ) -> DataFrame:
     """The links between members of different groups that share a bucket."""
-    known = members.select("bucket", "band", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    known = stage(known.withColumn("label", F.coalesce("component", "doc_id")).drop("component"), "members")
+    known = members.select("bucket", "band", "node").join(labels, "node", "left")
+    known = stage(known.withColumn("label", F.coalesce("component", "node")).drop("component"), "members")
     groups = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = (
         groups.groupBy("bucket")
@@ -141,14 +149,14 @@ def _compare_buckets(
         )
     )
     rows = known.join(mixed, "bucket").withColumn("stray", F.col("label") != F.col("top"))
-    place = F.xxhash64("doc_id")
+    place = F.xxhash64("node")
     block = F.pmod(place, F.col("blocks")).cast("int")
     part = F.pmod(F.shiftright(place, 20), F.col("parts")).cast("int")
     up_to = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     as_member = rows.select("*", F.lit(0).alias("role"), block.alias("block"), up_to(F.col("parts")).alias("part"))
     as_probe = rows.where("stray").select("*", F.lit(1).alias("role"), part.alias("part"), up_to(F.col("blocks")).alias("block"))
-    units = as_member.unionByName(as_probe).select("bucket", "band", "block", "part", "doc_id", "label", "stray", "role")
-    filled = units.join(nodes.select("doc_id", "bands"), "doc_id").join(texts, "doc_id")
+    units = as_member.unionByName(as_probe).select("bucket", "band", "block", "part", "node", "label", "stray", "role")
+    filled = units.join(nodes.select("node", "bands"), "node").join(texts, "node")
     return filled.groupBy("bucket", "block", "part").applyInArrow(
         lambda table: _compare_unit(table, width, percent), "a bigint, b bigint"
     )
@@ -158,34 +166,45 @@ def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT,
     bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (smallest reachable id) and ``kept`` for every row of ``docs``."""
+    """``doc_id``, ``text_key``, ``n_shingles``, ``component_id`` (smallest reachable id), ``kept`` and ``chosen`` for every
+    row of ``docs``."""
     if bands * rows > 65_536:
         raise ValueError("a signature has at most 65,536 places")
     found = stage(signatures(docs, id, text, width, bands, rows), "signatures")
     full = found.where("n_shingles > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    firsts = full.groupBy("low", "high", "n_shingles").agg(F.min(place).alias("first"))
     classes = stage(
-        full.groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes"
-    )
-    nodes = (
-        full.join(classes.select("low", "high", F.col("rep").alias("doc_id")), ["low", "high", "doc_id"], "left_semi")
-        .select("doc_id", "bands").dropDuplicates(["doc_id", "bands"])
-    )
-    placed = nodes.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1")
+        firsts.select(
+            F.monotonically_increasing_id().alias("node"), "low", "high",
+            F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("rep_key"),
+        ), "classes"
+    )
+    is_rep = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key"))
+    same_class = (F.col("low") == F.col("l")) & (F.col("high") == F.col("h"))
+    named = classes.withColumnsRenamed({"low": "l", "high": "h"})
+    nodes = full.join(named, same_class & is_rep).select("node", "bands").dropDuplicates(["node"])
+    placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
     members = stage(placed.join(buckets, "bucket"), "buckets")
 
-    pairs = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sought = members.select("doc_id").distinct()
-    source = docs.select(F.col(f"`{id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    texts = stage(source.join(sought, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    sought = members.select("node").distinct().join(classes.select("node", "rep", "rep_key"), "node")
+    body = F.col(f"`{text}`").cast("string")
+    source = docs.select(F.col(f"`{id}`").cast("bigint").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
+    texts = stage(source.join(sought, is_rep).select("node", "text").dropDuplicates(["node"]), "texts")
     links = stage(_verify_pairs(pairs, texts, width, percent), "links")
     more = stage(_compare_buckets(members, connected_components(links), nodes, texts, width, percent), "links")
-    labels = connected_components(links.unionByName(more))
-
-    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "low", "high", F.coalesce("component", "rep").alias("component")
-    )
-    component = F.coalesce("component", "doc_id")
-    return found.join(named, ["low", "high"], "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+    linked = stage(classes.join(connected_components(links.unionByName(more)), "node"), "linked")
+
+    first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "rep_key"))
+    heads = linked.groupBy("component").agg(first.alias("head"))
+    linked = linked.join(heads, "component").select("node", "head")
+    own = F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "rep_key")
+    heads = classes.join(linked, "node", "left").select("low", "high", F.coalesce("head", own).alias("head"))
+    is_head = F.col("doc_id").eqNullSafe(F.col("head.rep")) & (F.col("text_key") == F.col("head.rep_key"))
+    component = F.coalesce("head.rep", "doc_id")
+    return found.join(heads, ["low", "high"], "left").select(
+        "doc_id", "text_key", "n_shingles", component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), (F.col("head").isNull() | is_head).alias("chosen"),
+    )

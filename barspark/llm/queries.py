@@ -80,7 +80,8 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op4_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return near_dedup.near_duplicates(read(spark, sf, "documents"))
+    found = near_dedup.near_duplicates(read(spark, sf, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 ORACLES["op4_near_dedup"] = f"""with recursive d as (

@@ -136,3 +136,30 @@ def test_null_ids_and_empty_tables(make, empty):
         "Row(doc_id=None, component_id=None, kept=True)", "Row(doc_id=None, component_id=None, kept=True)",
     ])
     assert N.near_duplicates(empty).count() == 0
+
+
+def test_rows_of_one_id_with_different_texts(make):
+    a, b, c = words(60, 21), words(60, 22), words(60, 23)
+    rows = [(3, a), (5, edited(a, 1, 1)), (5, b), (9, edited(b, 1, 2)), (9, edited(b, 1, 2)), (None, c), (None, edited(c, 1, 3)), (None, ""), (None, "")]
+    rows += [(1, edited(c, 1, 4))] * 2
+    got = N.near_duplicates(make(rows)).collect()
+    assert len(got) == len(rows)
+    seen = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got)
+    assert seen == sorted(
+        [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (9, 5, False), (0, 1, False), (0, 1, False), (0, 0, True), (0, 0, True)]
+        + [(1, 1, True)] * 2
+    )
+    chosen = [(r.doc_id, r.n_shingles > 0) for r in got if r.chosen]
+    assert sorted(map(repr, chosen)) == sorted(map(repr, [(3, True), (5, True), (None, False), (None, False), (1, True), (1, True)]))
+
+
+def test_one_row_of_a_component_without_ids_is_chosen(make):
+    a = words(60, 31)
+    got = N.near_duplicates(make([(None, a), (None, edited(a, 1, 1)), (None, edited(a, 1, 2))])).collect()
+    assert [r.chosen for r in got].count(True) == 1 and all(r.component_id is None for r in got)
+
+
+def test_an_id_that_many_texts_share(make):
+    rows = [(7, words(30, 400 + k)) for k in range(300)] + [(8, words(30, 450))]
+    got = N.near_duplicates(make(rows)).collect()
+    assert all(r.component_id == 7 for r in got) and sum(r.chosen for r in got) == 300
