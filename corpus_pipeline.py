@@ -40,16 +40,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, and one row of each id.
+    """One document of each group of near copies, the one with the smallest id (then hash of the text).
 
-    Documents without words and rows with a null id and no group stay.
+    Rows that repeat an id and a text are one document; rows of one id with different texts are documents of their own.
+    Rows without words stay, those with a null id all of them.
     """
     found = near_dedup.near_duplicates(docs, width=WIDTH)
-    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
-    unnamed = docs.where("doc_id is null") if found.where("kept and doc_id is null").limit(1).count() else None
-    named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(unnamed) if unnamed is not None else named
+    chosen = found.where("chosen").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    text = F.col("text").cast("string")
+    blank = F.col("doc_id").isNull() & ~F.coalesce(text, F.lit("")).rlike(near_dedup.HAS_WORD)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key"))
+    single = docs.where(~blank).join(chosen, same).dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    return single.unionByName(docs.where(blank))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
