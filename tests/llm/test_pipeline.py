@@ -67,6 +67,15 @@ def test_stages(spark, folder):
     assert max(fill.values()) <= 2048 and len(fill) <= np.ceil(sum(fill.values()) / 2048) + 1
 
 
+def test_near_copies_keep_one_row_of_each_text_and_null_ids(spark, make, folder):
+    a, b = words(60, 41), words(60, 42)
+    rows = [(5, a), (5, b), (5, b), (None, a), (None, b), (None, ""), (None, " "), (1, ""), (1, ""), (None, words(60, 43)), (None, words(60, 43))]
+    got = P.drop_near_copies(spark, make(rows), folder)
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted(
+        [(5, a), (5, b), (0, ""), (0, " "), (1, ""), (0, words(60, 43))]
+    )
+
+
 def test_run_gives_the_result_of_the_last_stage(spark, folder):
     assert P.run(spark, folder).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
