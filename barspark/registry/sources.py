@@ -54,30 +54,28 @@ def bars_sorted(spark, sf):
     return show(sort_bars(hourly(spark, sf)), numbers=OHLCV)
 
 
-_CSV = bars_sql(f"select {stamp()}, {rounded(*OHLCV)} from bars where symbol = 'click'")
+_CSV = bars_sql(f"select symbol, {stamp()}, {rounded(*OHLCV)} from bars")
 
 
-def _click(spark, sf):
-    """One series with times as text, as a file would hold it."""
-    return hourly(spark, sf).filter("symbol = 'click'").selectExpr(
-        "date_format(ts, 'yyyy-MM-dd HH:mm:ss') as time", *OHLCV
-    )
+def _as_text(spark, sf):
+    """All series with times as text, as files would hold them."""
+    return hourly(spark, sf).selectExpr("symbol", "date_format(ts, 'yyyy-MM-dd HH:mm:ss') as time", *OHLCV)
 
 
 @query("read_ohlcv", _CSV)
 def headerless(spark, sf):
     path = stage_path(spark, "ohlcv-csv")
-    _click(spark, sf).write.csv(path)
-    return show(read_ohlcv(spark, path, "click"), ["ts"], OHLCV)
+    _as_text(spark, sf).write.partitionBy("symbol").csv(path)
+    return show(read_ohlcv(spark, path), numbers=OHLCV)
 
 
 @query("read_ohlc", _CSV.replace(', round("volume", 6) + 0.0 as "volume"', ""))
 def headered(spark, sf):
     path = stage_path(spark, "ohlc-csv")
-    _click(spark, sf).selectExpr(
-        "time as `Bar_Time`", "open as `Open Price`", "high as HIGH", "low as `Low`", "close as `adj_Close`"
-    ).write.option("header", True).csv(path)
-    return show(read_ohlc(spark, path, "click"), ["ts"], OHLCV[:4])
+    _as_text(spark, sf).selectExpr(
+        "symbol", "time as `Bar_Time`", "open as `Open Price`", "high as HIGH", "low as `Low`", "close as `adj_Close`"
+    ).write.partitionBy("symbol").option("header", True).csv(path)
+    return show(read_ohlc(spark, path), numbers=OHLCV[:4])
 
 
 @query(

@@ -34,6 +34,16 @@ def test_headerless_file_needs_six_columns(spark, tmp_path):
         read_ohlcv(spark, write(tmp_path, "2024-01-02,1,2,3,4\n"), "XAU")
 
 
+def test_a_folder_for_each_symbol(spark, tmp_path):
+    for name, close in (("007", 1.5), ("12", 2.5)):
+        for kind, head in (("plain", ""), ("headed", "Date,Open,High,Low,Close,Vol,Symbol_Old\n")):
+            folder = tmp_path / kind / f"symbol={name}"
+            folder.mkdir(parents=True)
+            (folder / "bars.csv").write_text(f"{head}2024-01-02 00:00:00,1,2,0.5,{close},10,extra\n")
+    for got in (read_ohlcv(spark, str(tmp_path / "plain")), read_ohlc(spark, str(tmp_path / "headed"))):
+        assert sorted((r.symbol, r.close) for r in got.collect()) == [("007", 1.5), ("12", 2.5)]
+
+
 def test_headered_file(spark, tmp_path):
     path = write(tmp_path, "Date,Open_Bid,HIGH,Low,Close,Other\n2024-01-02,1,2,0.5,1.5,q\n2024-01-03,,2,1,1,r\n")
     got = ordered(read_ohlc(spark, path, "XAU"), "ts")
