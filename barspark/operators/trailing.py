@@ -90,8 +90,13 @@ def _first_child(condition: str) -> str:
 
 
 def _visit(rows: DataFrame, nodes: DataFrame, level: int, found: str) -> DataFrame:
-    """Join ``_node`` with its children and put the first fitting child into ``_next``."""
-    if level >= 3:  # few, wide nodes: many positions may share one
+    """Join ``_node`` with its children and put the first fitting child into ``_next``.
+
+    The nodes hold all quotes in arrays, which Spark takes for a small part of the size that they have; without the hint it
+    would send them through the driver.
+    """
+    nodes = nodes.hint("merge")
+    if level > 3:  # one node in 1,000,000 s: many positions share one
         joined = join_salted(rows, nodes, ["symbol", "_node"], "ticket")
     else:
         joined = rows.join(nodes, ["symbol", "_node"], "left")

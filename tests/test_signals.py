@@ -257,3 +257,15 @@ def test_rolling_extremes_equal_a_look_at_every_row(spark, size):
         assert (None if r.hi is None else tuple(r.hi)) == high
         # a missing close sorts first, as in the expression over the whole frame
         assert (None if r.lo is None else r.lo[1]) == (None if low is None else low[2])
+
+
+def test_quotes_of_trailing_stops_stay_off_the_driver(spark):
+    """Spark takes the arrays of quotes for small, so no join may follow its estimate; only the widest nodes are copied."""
+    ts = pd.Timestamp("2024-01-01").to_pydatetime()
+    quotes = spark.createDataFrame([("A", ts, 1.0, 1.0)], "symbol string, ts timestamp, bid double, ask double")
+    schema = "ticket long, symbol string, type string, open_ts timestamp, price_open double, sl double, tp double"
+    rows = trailing.trailing_stops(spark.createDataFrame([(1, "A", "BUY", ts, 0.5, 0.2, 0.0)], schema), quotes)
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 9 and "BroadcastHashJoin" not in plan
+    assert plan.count("Generate explode") == 3  # levels 4 and 5 on the way up, 4 on the way down
+    assert [r.ticket for r in rows.collect()] == [1]
