@@ -5,6 +5,7 @@ from conftest import ordered, random_bars, series
 
 from barspark.operators import orders, trailing, zones
 from barspark.plans import Layout, number_rows, settle, spread
+from barspark.sources import sinks
 from barspark.sources.quotes import quotes_at
 
 SMALL = Layout("H1", bucket_slots=40, chunk_rows=128, fanout=2)
@@ -269,3 +270,14 @@ def test_quotes_of_trailing_stops_stay_off_the_driver(spark):
     assert plan.count("SortMergeJoin") == 9 and "BroadcastHashJoin" not in plan
     assert plan.count("Generate explode") == 3  # levels 4 and 5 on the way up, 4 on the way down
     assert [r.ticket for r in rows.collect()] == [1]
+
+
+def test_quotes_of_stop_alerts_stay_off_the_driver(spark):
+    """Of all joins only that with the digits of the symbols may be broadcast."""
+    ts = pd.Timestamp("2024-01-01").to_pydatetime()
+    quotes = spark.createDataFrame([("A", ts, 1.0, 1.0)], "symbol string, ts timestamp, bid double, ask double")
+    schema = "ticket long, symbol string, type string, open_ts timestamp, price_open double, sl double, tp double"
+    moves = trailing.trailing_stops(spark.createDataFrame([(1, "A", "BUY", ts, 0.5, 0.2, 0.0)], schema), quotes)
+    rows = sinks.stop_alerts(moves, spark.createDataFrame([("A", 5)], "symbol string, digits int"), "H1")
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") <= 1
+    assert rows.first().message.endswith("Ticket: 1\nSL Baru: 0.72920")
