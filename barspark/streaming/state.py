@@ -142,7 +142,56 @@ def zone_stream(bars: DataFrame, lookback: int = LOOKBACK, levels: ZoneLevels =
 
 # --- trailing stops ----------------------------------------------------------------------------
 
-POSITION = "type string, open_us bigint, price_open double, sl double, tp double, trigger double, new_sl double"
+#: Arrays that the records of a key are dealt to by ticket.
+SHELVES = 256
+WAITING = np.dtype(
+    [("ticket", "<i8"), ("us", "<i8"), ("buy", "?"), *((c, "<f8") for c in ("price_open", "sl", "tp", "trigger", "new_sl"))]
+)
+MOVED = np.dtype([("ticket", "<i8"), ("us", "<i8")])
+
+
+def _shelf(tickets: np.ndarray) -> np.ndarray:
+    mixed = tickets.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(32)).astype(np.int64) % SHELVES
+
+
+class Shelves:
+    """Records of tickets in a map state of arrays, so that a batch makes few calls whatever its number of tickets."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, kind: np.dtype) -> None:
+        self.state, self.kind = handle.getMapState(name, "shelf int", "records binary"), kind
+
+    def read(self, shelves: Iterable[int]) -> np.ndarray:
+        kept = [self.state.getValue((int(k),)) for k in shelves]
+        return np.concatenate([np.zeros(0, self.kind), *(np.frombuffer(k[0], self.kind) for k in kept if k)])
+
+    def read_all(self) -> np.ndarray:
+        return self.read([k for (k,) in self.state.keys()])
+
+    def write(self, records: np.ndarray, shelves: np.ndarray) -> None:
+        """Make the records those of the given shelves; what else they held is dropped."""
+        place = _shelf(records["ticket"])
+        order = np.argsort(place, kind="stable")
+        begins, ends = (np.searchsorted(place[order], shelves, side) for side in ("left", "right"))
+        for k, begin, end in zip(shelves.tolist(), begins, ends):
+            if end > begin:
+                self.state.updateValue((k,), (records[order[begin:end]].tobytes(),))
+            elif self.state.containsKey((k,)):
+                self.state.removeKey((k,))
+
+
+def _positions(frame: pd.DataFrame) -> np.ndarray:
+    out = np.zeros(len(frame), WAITING)
+    out["us"], out["buy"] = frame["ts"].to_numpy("datetime64[ns]").astype(np.int64) // 1000, frame["type"] == "BUY"
+    for c in ("ticket", "price_open", "sl", "tp", "trigger", "new_sl"):
+        out[c] = frame[c].to_numpy(WAITING[c])
+    return out
+
+
+def _nearest(positions: np.ndarray) -> tuple[float, float]:
+    """The lowest trigger of buys and the highest of sells."""
+    buy = positions["buy"]
+    return positions["trigger"][buy].min(initial=np.inf), positions["trigger"][~buy].max(initial=-np.inf)
 
 
 class TrailingProcessor(StatefulProcessor):
@@ -154,46 +203,59 @@ class TrailingProcessor(StatefulProcessor):
         self.remember_us = remember_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "ticket bigint", POSITION)
+        self.waiting = Shelves(handle, "waiting", WAITING)
         self.nearest = handle.getValueState("nearest", "buy double, sell double")
-        self.moved = handle.getMapState("moved", "ticket bigint", "us bigint")
+        self.moved = Shelves(handle, "moved", MOVED)
+
+    def _unknown(self, opened: np.ndarray) -> np.ndarray:
+        """The first of each ticket that neither waits nor has moved."""
+        opened = opened[np.sort(np.unique(opened["ticket"], return_index=True)[1])]
+        shelves = np.unique(_shelf(opened["ticket"]))
+        known = np.concatenate([x.read(shelves)["ticket"] for x in (self.waiting, self.moved)])
+        return opened[~np.isin(opened["ticket"], known)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         buy, sell = self.nearest.get() or (np.inf, -np.inf)
-        parts = []
+        parts, opened = [], [np.zeros(0, WAITING)]
         for frame in rows:
             given = frame["ticket"].isna().to_numpy()
             quotes = frame[given]
             parts.append((_micros(quotes["ts"]), quotes["bid"].to_numpy(float), quotes["ask"].to_numpy(float)))
-            for r in frame[~given].itertuples():
-                ticket = (int(r.ticket),)
-                if self.moved.containsKey(ticket) or self.waiting.containsKey(ticket):
-                    continue
-                us = r.ts.value // 1000
-                self.waiting.updateValue(ticket, (r.type, us, r.price_open, r.sl, r.tp, r.trigger, r.new_sl))
-                buy, sell = (min(buy, r.trigger), sell) if r.type == "BUY" else (buy, max(sell, r.trigger))
+            if not given.all():
+                opened.append(_positions(frame[~given]))
         us, bid, ask = (np.concatenate(x) for x in zip(*parts))
+        fresh = self._unknown(np.concatenate(opened))
+        near = _nearest(fresh)
+        buy, sell = min(buy, near[0]), max(sell, near[1])
         if len(us) and (np.nanmax(bid, initial=-np.inf) > buy or np.nanmin(ask, initial=np.inf) < sell):
             order = np.argsort(us, kind="stable")
             us, bid, ask = us[order], bid[order], ask[order]
-            for ticket, (at,) in list(self.moved.iterator()):
-                if at < us[-1] - self.remember_us:
-                    self.moved.removeKey(ticket)
-            moves = []
-            buy, sell = np.inf, -np.inf
-            for ticket, position in list(self.waiting.iterator()):
-                kind, open_us, *prices, trigger, _ = position
-                at = _first_beyond(us, bid if kind == "BUY" else -ask, open_us, trigger if kind == "BUY" else -trigger)
-                if at is None:
-                    buy, sell = (min(buy, trigger), sell) if kind == "BUY" else (buy, max(sell, trigger))
-                    continue
-                moves.append((ticket[0], key[0], kind, open_us, *prices, position[-1], int(us[at])))
-                self.waiting.removeKey(ticket)
-                self.moved.updateValue(ticket, (int(us[at]),))
-            if moves:
-                out = pd.DataFrame(moves, columns=MOVE)
-                out["open_ts"], out["moved_ts"] = _times(out["open_ts"]).to_numpy(), _times(out["moved_ts"]).to_numpy()
-                yield out
+            moved = self.moved.read_all()
+            late = moved["us"] < us[-1] - self.remember_us
+            waiting = np.concatenate((self.waiting.read_all(), fresh))
+            at = np.full(len(waiting), -1)
+            for side, values, sign in ((waiting["buy"], bid, 1), (~waiting["buy"], -ask, -1)):
+                own = waiting[side]
+                at[side] = first_beyond(values, np.searchsorted(us, own["us"], "left"), sign * own["trigger"])
+            moves, to = waiting[at >= 0], us[at[at >= 0]]
+            now = np.zeros(len(moves), MOVED)
+            now["ticket"], now["us"] = moves["ticket"], to
+            stay = waiting[at < 0]
+            # what has not changed stays as it is
+            changed = np.unique(_shelf(np.concatenate((fresh["ticket"], moves["ticket"]))))
+            self.waiting.write(stay[np.isin(_shelf(stay["ticket"]), changed)], changed)
+            changed = np.unique(_shelf(np.concatenate((moved["ticket"][late], now["ticket"]))))
+            kept = np.concatenate((moved[~late], now))
+            self.moved.write(kept[np.isin(_shelf(kept["ticket"]), changed)], changed)
+            buy, sell = _nearest(stay)
+            if len(moves):
+                out = pd.DataFrame({c: moves[c] for c in ("ticket", "price_open", "sl", "tp", "new_sl")})
+                out["symbol"], out["type"] = key[0], np.where(moves["buy"], "BUY", "SELL")
+                out["open_ts"], out["moved_ts"] = moves["us"].astype("datetime64[us]"), to.astype("datetime64[us]")
+                yield out[MOVE]
+        elif len(fresh):
+            shelves = np.unique(_shelf(fresh["ticket"]))
+            self.waiting.write(np.concatenate((self.waiting.read(shelves), fresh)), shelves)
         self.nearest.update((float(buy), float(sell)))
 
     def close(self) -> None:
@@ -203,17 +265,34 @@ class TrailingProcessor(StatefulProcessor):
 MOVE = ["ticket", "symbol", "type", "open_ts", "price_open", "sl", "tp", "new_sl", "moved_ts"]
 
 
-def _first_beyond(us: np.ndarray, values: np.ndarray, since: int, trigger: float) -> int | None:
-    """The first place at or after a time with a value above the trigger."""
-    begin = int(np.searchsorted(us, since, "left"))
-    size = 256
-    while begin < len(us):
-        hit = np.flatnonzero(values[begin : begin + size] > trigger)
-        if len(hit):
-            return begin + int(hit[0])
-        begin += size
-        size *= 2
-    return None
+def first_beyond(values: np.ndarray, since: np.ndarray, triggers: np.ndarray) -> np.ndarray:
+    """For each ``since``, the first place from there on with a value above its trigger; -1 where there is none.
+
+    A search climbs a tree of the maxima of pairs, pairs of pairs and so on, two nodes a level at most, and descends again.
+    """
+    lowest = np.full(1 << max(len(values) - 1, 0).bit_length(), -np.inf)
+    lowest[: len(values)] = np.where(np.isnan(values), -np.inf, values)
+    tree = [lowest]
+    while len(tree[-1]) > 1:
+        tree.append(np.maximum(tree[-1][::2], tree[-1][1::2]))
+    at, height = since.astype(np.int64), np.full(len(since), -1)
+    left = np.flatnonzero(at < len(lowest))
+    for h, maxima in enumerate(tree):
+        look = left
+        for _ in range(2):  # the node, and its neighbour if it is the first of a pair
+            hit = maxima[at[look]] > triggers[look]
+            height[look[hit]] = h
+            at[look[~hit]] += 1
+            look = look[~hit]
+            look = look[(at[look] % 2 == 1) & (at[look] < len(maxima))]
+        left = left[height[left] < 0]
+        at[left] //= 2
+        left = left[at[left] < len(maxima) // 2]
+    for h in range(len(tree) - 2, -1, -1):
+        down = np.flatnonzero(height > h)
+        at[down] *= 2
+        at[down] += ~(tree[h][at[down]] > triggers[down])
+    return np.where(height < 0, -1, at)
 
 
 def move_stream(positions: DataFrame, quotes: DataFrame, parts: int = 1, remember_hours: int = 168) -> DataFrame:

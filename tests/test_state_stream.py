@@ -185,3 +185,93 @@ def test_two_timers_reset_zones_for_later_bars(spark, tmp_path):
         query.stop()
     want = [("PLACE", 1), ("REJECT", 2), ("RESET", None), ("PLACE", 5), ("RESET", None), ("SKIP", 8)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+class CountedState:
+    """A state store in memory that counts the calls."""
+
+    def __init__(self):
+        self.calls, self.states = 0, {}
+
+    def getMapState(self, name, key, value):
+        return CountedMap(self, self.states.setdefault(name, {}))
+
+    def getValueState(self, name, schema):
+        return CountedValue(self, self.states.setdefault(name, {}))
+
+
+class CountedMap:
+    def __init__(self, store, rows):
+        self.store, self.rows = store, rows
+
+    def __getattribute__(self, name):
+        if name not in ("store", "rows"):
+            self.store.calls += 1
+        return object.__getattribute__(self, name)
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def iterator(self):
+        return iter(list(self.rows.items()))
+
+
+class CountedValue(CountedMap):
+    def get(self):
+        return self.rows.get(0)
+
+    def update(self, value):
+        self.rows[0] = value
+
+
+def test_calls_to_the_state_store_do_not_grow_with_positions():
+    rng = np.random.default_rng(3)
+    n, quotes = 6000, 900
+    ts = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(quotes), "s")
+    bid = np.round(100 + rng.normal(0, 3, quotes), 2)
+    given = pd.DataFrame({"ts": ts, "ticket": np.nan, "type": None, "bid": bid, "ask": bid + 0.05})
+    buy, at, risk = rng.random(n) < 0.5, rng.integers(0, quotes, n), rng.choice([1.0, 4.0, 50.0], n)
+    sign = np.where(buy, 1, -1)
+    opened = pd.DataFrame(
+        {
+            "ts": ts[at], "ticket": np.arange(n) + 1.0, "type": np.where(buy, "BUY", "SELL"), "price_open": bid[at],
+            "sl": bid[at] - sign * risk, "tp": 0.0, "trigger": bid[at] + sign * risk, "new_sl": bid[at] + sign * risk * 0.764,
+        }
+    )
+    store = CountedState()
+    processor = st.TrailingProcessor(10**12)
+    processor.init(store)
+    got = []
+    for k in range(3):  # the positions of the last batch have come before
+        batch = pd.concat([given[300 * k : 300 * k + 300], opened[(at // 300 == k) | (k == 2) & (at < 50)]])
+        got += list(processor.handleInputRows(("A", 0), iter([batch[:200], batch[200:]]), None))
+    assert store.calls < n
+    moves = pd.concat(got).sort_values("ticket")
+    want = {}
+    for r in opened.itertuples():
+        first = [t for t, b in zip(ts[ts >= r.ts], bid[ts >= r.ts]) if (b > r.trigger if r.type == "BUY" else b + 0.05 < r.trigger)][:1]
+        want.update({int(r.ticket): t for t in first})
+    assert 1000 < len(want) < n - 1000
+    assert dict(zip(moves.ticket, moves.moved_ts)) == want
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3, 8, 9, 257])
+def test_first_places_beyond_triggers(size):
+    rng = np.random.default_rng(size)
+    values = np.round(rng.normal(0, 3, size), 1)
+    values[rng.integers(0, 5, size) == 0] = np.nan
+    since, triggers = rng.integers(0, size + 1, 300), np.round(rng.normal(2, 4, 300), 1)
+    want = [next((i for i in range(a, size) if values[i] > t), -1) for a, t in zip(since, triggers)]
+    assert st.first_beyond(values, since, triggers).tolist() == want
