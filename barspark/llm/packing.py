@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import stage
-from .common import map_arrow, parts
-from .tokens import CACHED, ID, encoder
+from .common import map_arrow
+from .tokens import CACHED, ID, encoder, text_parts
 
 CAPACITY = 2048
 GROUP = 16_384
@@ -173,9 +173,9 @@ def pieces_of(
 
     def run(batch: pa.RecordBatch):
         code = encoder(vocabulary, cached)
-        for some in parts(batch):
+        for some in text_parts(batch, 1, code.slice_bytes):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for d, data in zip(some.column(0).to_pylist(), code.encode(some.column(1).to_pylist())):
+            for d, data in zip(some.column(0).to_pylist(), code.encode(some.column(1))):
                 data += tail
                 n = len(data) // width
                 begin, end, piece = 0, n % capacity or capacity, 0

@@ -2,9 +2,11 @@
 
 A byte-level tokenizer whose pattern starts a new piece at every single space between two words gives the same ids
 whether a text is encoded whole or cut at such spaces, and likewise at a line break between two other characters and
-before a full stop, comma or the like that follows a letter. Texts are cut at the spaces and looked up; chunks that are
-new are encoded together, those with line breaks after a further cut. The cache has two generations: when the
-young one is full it becomes the old one, and what is used again comes back. Any other tokenizer, and texts that contain
+before a full stop, comma or the like that follows a letter. Arrow cuts a slice of texts at the spaces and finds its
+distinct chunks; these are looked up, and their ids taken for every place. New chunks of Latin letters, which the pattern
+keeps in one piece, go straight to the library's model; others are encoded together, those with line breaks after a
+further cut. The cache has two generations: when the young one is full it becomes the old one, and what is used again
+comes back. Texts with other white space next to a space are cut one by one. Any other tokenizer, and texts that contain
 one of its added tokens, are encoded whole.
 """
 
@@ -13,27 +15,54 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
-
-from .common import text_slices
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 BETWEEN_WORDS = re.compile(r"(?<=\S)(?= \S)")
 NEXT_TO_SPACE = re.compile(r"\s | \s")
+#: The same for Arrow, whose ``\\s`` is ASCII only.
+ARROW_NEXT_TO_SPACE = r"[\t-\r\x1c-\x1f\x{85}\p{Z}] | [\t-\r\x1c-\x1f\x{85}\p{Z}]"
 #: Chunks in a generation of a worker's cache; characters, and chunks, that are encoded in one call.
 CACHED, CALL_CHARS, CALL_KEYS = 400_000, 200_000, 20_000
-#: Characters of text whose chunks are looked up together, unless one text is longer.
-SLICE = 1_000_000
+#: Bytes of text whose chunks are looked up together, for each chunk of a generation, unless one text is longer.
+SLICE_BYTES = 20
 #: Marks that begin a piece of their own after a letter (fixed values), and the letters for which that is used.
 MARKS, LAST_LETTER = frozenset(".,;:!?"), "\u024f"
+LETTERS = r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]?)"
+LATIN = re.compile(rf"{LETTERS}(?:\n{LETTERS})?")
 ID = np.dtype("<u4")
 #: A chunk without its leading space, or the first chunk of a text in a tuple.
 Key = str | tuple[str]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def text_parts(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with at most ``limit`` bytes of text, or one row with more."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, begin = np.cumsum(lengths, dtype=np.int64), 0
+    while begin < batch.num_rows:
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 class Encoder:
     def __init__(self, path: str, cached: int = CACHED) -> None:
         from tokenizers import Tokenizer
@@ -50,7 +79,10 @@ class Encoder:
         )
         line = self._whole("\n") if self.cuts else b""
         self.line = int(np.frombuffer(line, ID)[0]) if len(line) == ID.itemsize else None
+        self.model = self.tokenizer.model
+        self.marks = {m: self._whole(m) if m and self.cuts else b"" for m in ("", "\n", *MARKS)}
         self.cached = cached
+        self.slice_bytes = SLICE_BYTES * cached
         self.known: dict[Key, bytes] = {}
         self.old: dict[Key, bytes] = {}
 
@@ -73,6 +105,38 @@ class Encoder:
                 out.append(line)
         return out
 
+    def _merge(self, word: str, space: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(space + word)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _encode_letters(self, keys: Iterable[Key], known: dict[Key, bytes]) -> dict[Key, bytes]:
+        """Ids of those keys that are Latin letters, a mark behind them, and one more such word on the next line."""
+        out: dict[Key, bytes] = {}
+        match, merge, marks, space = LATIN.fullmatch, self._merge, self.marks, BYTE_LETTERS[ord(" ")]
+        for key in keys:
+            first = type(key) is tuple
+            if not first and key.isascii() and key.isalpha():
+                out[key] = merge(key, space)
+                continue
+            found = match(key[0] if first else key)
+            if found is None:
+                continue
+            word, mark, below, last = found.groups()
+            ids = known.get((word,) if first else word)
+            if ids is None:
+                ids = merge(word, "" if first else space)
+            if mark:
+                ids += marks[mark]
+            if below:
+                more = known.get((below,)) or out.get((below,))
+                if more is None:
+                    more = out[(below,)] = merge(below, "")
+                ids += marks["\n"] + more + marks[last]
+            out[key] = ids
+        return out
+
     def _encode_new(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of distinct chunks: those without line breaks together, parted by them."""
         out: dict[str, bytes] = {}
@@ -122,45 +186,77 @@ class Encoder:
         again = self.old.keys() & new
         known.update((k, self.old[k]) for k in again)
         new = new - again
+        letters = self._encode_letters(new, known)
+        known.update(letters)
+        new = new.difference(letters)
         plain = [k for k in new if type(k) is str and k.isprintable() and k] if self.line is not None else []
         known.update(self._encode_plain(plain))
         if len(plain) < len(new):
             cut = {k: self.parts(" " + k if type(k) is str else k[0]) for k in new.difference(plain)}
             place = {p: p[1:] if p[:1] == " " else (p,) for parts in cut.values() for p in parts}
             ids_of = {p: ids for p, k in place.items() if (ids := known.get(k)) is not None}
+            letters = self._encode_letters([k for p, k in place.items() if p not in ids_of], known)
+            ids_of |= {p: letters[k] for p, k in place.items() if k in letters}
             ids_of |= self._encode_new([p for p in place if p not in ids_of])
             known.update((place[p], ids) for p, ids in ids_of.items())
             known.update((key, b"".join([ids_of[p] for p in parts])) for key, parts in cut.items())
 
-    def _keys(self, text: str) -> list[Key] | None:
-        """The chunks of a text, without the space that each begins with; the first one, without a space, in a tuple."""
-        if not self.cuts or any(t in text for t in self.added):
-            return None
-        if NEXT_TO_SPACE.search(text):
-            keys: list[Key] = [c[1:] for c in BETWEEN_WORDS.split(text)]
-            keys[0] = (BETWEEN_WORDS.split(text, 1)[0],)
-        else:
-            keys = text.split(" ")
-            keys[0] = (keys[0],)
-        return keys
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; none for null or empty."""
-        out: list[bytes] = []
-        cleaned = [t or "" for t in texts]
-        for a, b in text_slices(cleaned, SLICE):
-            lists = [self._keys(t) for t in cleaned[a:b]]
-            used: set[Key] = set().union(*[x for x in lists if x is not None])
-            new = used.difference(self.known)
-            if len(self.known) + len(new) > self.cached:
-                self.old, self.known = self.known, {}
-                new = used
-            if new:
-                self._learn(new, self.known)
-            ids = self.known.__getitem__
-            out += [self._whole(t) if x is None else b"".join(map(ids, x)) for t, x in zip(cleaned[a:b], lists)]
+    def _know(self, keys: list[Key]) -> dict[Key, bytes]:
+        """The cache, with the ids of all these keys in it."""
+        new = {k for k in keys if k not in self.known}
+        if len(self.known) + len(new) > self.cached:
+            self.old, self.known = self.known, {}
+            new = set(keys)
+        if new:
+            self._learn(new, self.known)
+        return self.known
+
+    def _alone(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return self._whole(text)
+        first, *others = BETWEEN_WORDS.split(text)
+        keys: list[Key] = [(first,), *[c[1:] for c in others]]
+        known = self._know(keys)
+        return b"".join([known[k] for k in keys])
+
+    def _encode_slice(self, texts: pa.Array) -> list[bytes]:
+        alone = pc.match_substring_regex(texts, ARROW_NEXT_TO_SPACE)
+        for token in self.added:
+            alone = pc.or_(alone, pc.match_substring(texts, token))
+        lists = pc.split_pattern(pc.if_else(alone, "", texts), " ")
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(counts)
+        begins = ends - counts
+        chunks = lists.flatten()
+        coded = chunks.dictionary_encode()
+        place = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        # the first chunk of a text has no space before it, and is a key of its own
+        within = np.ones(len(place), bool)
+        within[begins] = False
+        wanted = np.zeros(len(coded.dictionary), bool)
+        wanted[place[within]] = True
+        place = (np.cumsum(wanted) - 1)[place]
+        keys: list[Key] = coded.dictionary.filter(pa.array(wanted)).to_pylist()
+        place[begins] = np.arange(len(keys), len(keys) + len(texts))
+        keys += [(c,) for c in chunks.take(pa.array(begins)).to_pylist()]
+        known = self._know(keys)
+        ids = pa.array([known[k] for k in keys], pa.large_binary()).take(pa.array(place))
+        _, offsets, data = ids.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[: len(ids) + 1]
+        view = memoryview(data or b"")
+        out = [view[i:j].tobytes() for i, j in zip(bounds[begins].tolist(), bounds[ends].tolist())]
+        for i in np.flatnonzero(alone.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._alone(texts[i].as_py())
         return out
 
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; none for null or empty."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.cuts:
+            return [self._whole(t or "") for t in column.to_pylist()]
+        batch = pa.RecordBatch.from_arrays([pc.fill_null(column, "")], ["t"])
+        return [ids for some in text_parts(batch, 0, self.slice_bytes) for ids in self._encode_slice(some.column(0))]
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, cached: int = CACHED) -> Encoder:

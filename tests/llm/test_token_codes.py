@@ -1,13 +1,15 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from barspark.llm import token_codes as C
-from barspark.llm.tokens import ID, Encoder, encoder
+from barspark.llm.tokens import ID, Encoder, encoder, text_parts
 from barspark.plans import stage_path
 
 from .llm_samples import AWKWARD
@@ -46,6 +48,30 @@ def test_cache_may_overflow():
         assert np.frombuffer(own.encode([text])[0], ID).tolist() == ids_of(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet=list("abÉ é.,!\n\t\xa0\u2028漢1'"), max_size=30), max_size=12), st.integers(1, 60))
+def test_arrow_texts_encode_alike_in_slices_of_any_size(texts, cached):
+    column = pa.array([None, "x y", *texts], pa.string()).slice(1)
+    got = Encoder(PATH, cached).encode(column)
+    assert [np.frombuffer(x, ID).tolist() for x in got] == [ids_of(t) for t in column.to_pylist()]
+
+
+def test_latin_words_need_no_pattern_search():
+    texts = ["Mot déjà vu, déjà.\nMot nouveau", "vu vu"]
+    own = Encoder(PATH)
+    own.tokenizer = None  # only the model and the cache are left
+    assert [np.frombuffer(x, ID).tolist() for x in own.encode(pa.array(texts))] == [ids_of(t) for t in texts]
+
+
+@pytest.mark.parametrize("limit", [1, 4, 100])
+def test_text_parts_keep_every_row(limit):
+    batch = pa.RecordBatch.from_pydict({"t": ["abc", None, "", "é" * 9, "d"]})
+    found = list(text_parts(batch, 0, limit))
+    assert pa.Table.from_batches(found).to_pylist() == batch.to_pylist()
+    sizes = [[len((t or "").encode()) for t in p.column(0).to_pylist()] for p in found]
+    assert all(sum(x) <= limit or len(x) == 1 for x in sizes)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=1500), st.sampled_from([8, 16]), st.data())
 def test_codes_give_random_access(ids, width, data):
