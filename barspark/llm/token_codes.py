@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans import stage_path
-from .common import map_arrow, parts
-from .tokens import ID, encoder
+from .common import map_arrow
+from .tokens import ID, encoder, text_parts
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -161,8 +161,8 @@ def write(
             at["before"] += len(data)
             return out
 
-        for some in (p for batch in batches for p in parts(batch)):
-            for d, own in zip(some.column(0).to_pylist(), code.encode(some.column(1).to_pylist())):
+        for some in (p for batch in batches for p in text_parts(batch, 1, code.slice_bytes)):
+            for d, own in zip(some.column(0).to_pylist(), code.encode(some.column(1))):
                 own += tail
                 size += len(own) // ID.itemsize
                 ids.append(own)
